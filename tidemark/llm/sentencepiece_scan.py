@@ -276,7 +276,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             names = ["id", "key", "n_chars", "chunk"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.list_(pa.int32())), pa.array(good, pa.bool_())], [*names, "ids", "decodes"])
 
-    chunks = stored(large.mapInArrow(cut, f"id {kind}, key long, n_chars long, chunk long, block long, part string, inside int, matrix binary"), "chunks")
+    chunks = stored(large.mapInArrow(cut, f"id {kind}, key long, n_chars long, chunk long, block long, part string, inside long, matrix binary"), "chunks")
     joined = chunks.drop("matrix", "block").join(_scan(chunks, model), ["key", "chunk"])
     each = joined.mapInArrow(trace, f"id {kind}, key long, n_chars long, chunk long, ids array<int>, decodes boolean")
     back = each.groupBy("key").agg(F.first("id").alias("id"), F.first("n_chars").alias("n_chars"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"), F.min("decodes").alias("decodes"))
