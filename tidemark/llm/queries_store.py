@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import table
 from tidemark.llm.token_store import read, write
+from tidemark.llm.vector_search import top_k
 
 #: What stands after each document.
 END = 2
@@ -17,5 +19,10 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(segments).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op4_token_store": op4_token_store}
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter(F.col("vec_id") % 20 == 0))
+
+
+QUERIES = {"op4_token_store": op4_token_store, "op5_vector_search": op5_vector_search}
 ORACLES: dict[str, str] = {}
