@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.llm import queries_language, queries_store
+from tidemark.llm import queries_language, queries_pages, queries_store
 
-PARTS = (queries_language, queries_store)
+PARTS = (queries_language, queries_pages, queries_store)
 QUERIES = {k: v for part in PARTS for k, v in part.QUERIES.items()}
 ORACLES = {k: v for part in PARTS for k, v in part.ORACLES.items()}
