@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm import pii
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import find
 
@@ -12,6 +14,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.sha2(pii.joined(F.col("base_spans")).cast("binary"), 256)
+    return found.select("doc_id", *(pii.count_of(k).alias(f"n_{k}") for k in pii.BASE), base.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 def _shingles(name: str, key: str) -> str:
     """Distinct shingles of five words of a table, as SQL."""
     return f"""SELECT DISTINCT {key}, array_to_string(w[i:i+4], ' ') AS s
@@ -28,5 +36,5 @@ FROM doc JOIN item USING (s) JOIN size USING (item_id)
 GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(0.8 * n - 1e-9)
 """
 
-QUERIES = {"op9_decontamination": op9_decontamination}
+QUERIES = {"op9_decontamination": op9_decontamination, "op10_personal_data": op10_personal_data}
 ORACLES = {"op9_decontamination": OP9_SQL}
