@@ -48,19 +48,34 @@ class WordRows:
         return self.parts[0][k]
 
 
+class _Growing:
+    """A numpy array that numbers are added to, with room for more."""
+
+    def __init__(self) -> None:
+        self.held, self.size = np.zeros(1024, np.int64), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.held):
+            room = np.zeros(2 * (self.size + len(more)), np.int64)
+            room[: self.size] = self.held[: self.size]
+            self.held = room
+        self.held[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+
 class WordLists(WordRows):
     """A list of numbers for each word: `work` gives the lengths of the words' lists, and the lists end to end."""
 
     def clear(self) -> None:
         super().clear()
-        self.starts, self.lengths, self.flat = (np.zeros(0, np.int64) for _ in range(3))
+        self.starts, self.lengths, self.flat = (_Growing() for _ in range(3))
 
     def gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(length of each word's list, where it starts in `flat`, flat)."""
+        """(length of each word's list, where it starts in the flat lists, the flat lists)."""
         rows = self.rows(words)
-        if self.parts:
-            lengths, flat = (np.concatenate(c) for c in zip(*self.parts))
-            at = len(self.flat) + np.cumsum(lengths) - lengths
-            self.lengths, self.starts = np.concatenate([self.lengths, lengths]), np.concatenate([self.starts, at])
-            self.flat, self.parts = np.concatenate([self.flat, flat]), []
-        return self.lengths[rows], self.starts[rows], self.flat
+        for lengths, flat in self.parts:
+            self.starts.add(self.flat.size + np.cumsum(lengths) - lengths)
+            self.lengths.add(lengths)
+            self.flat.add(flat)
+        self.parts = []
+        return self.lengths.held[rows], self.starts.held[rows], self.flat.held
