@@ -1,15 +1,19 @@
-"""Queries of operators 9 and 10."""
+"""Queries of operators 6, 9 and 10."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import pii
+from tidemark.llm import jaccard_join, pii
 from tidemark.llm.common import table
 from tidemark.llm.decontaminate import find
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,5 +40,5 @@ FROM doc JOIN item USING (s) JOIN size USING (item_id)
 GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(0.8 * n - 1e-9)
 """
 
-QUERIES = {"op9_decontamination": op9_decontamination, "op10_personal_data": op10_personal_data}
+QUERIES = {"op6_jaccard_join": op6_jaccard_join, "op9_decontamination": op9_decontamination, "op10_personal_data": op10_personal_data}
 ORACLES = {"op9_decontamination": OP9_SQL}
