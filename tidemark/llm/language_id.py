@@ -135,15 +135,15 @@ def _words(model: str, trained: dict) -> WordRows:
     return _KEPT[trained["key"]]
 
 
-def identify(docs: DataFrame, trained: dict, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, trained: dict, model: str, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """The frame's columns plus lang_pred and score (posterior of that language, 0 to 1).
 
     `und` with score 0 for null texts and texts without a letter, and for all if no language was learnt. Ties go to
-    the first language by name. Rows stay one to one; columns named lang_pred or score are replaced.
+    the first language by name. Rows stay one to one; columns that have the names of the new ones are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kept = docs.drop("lang_pred", "score")
+    kept = docs.drop(pred_col, score_col)
     names = kept.columns
     place = names.index(text_col)
     sent = spark.sparkContext.broadcast(trained)  # languages x pieces
@@ -162,6 +162,6 @@ def identify(docs: DataFrame, trained: dict, model: str, id_col: str = "doc_id",
             posterior = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
             known = np.array([len(w) > 0 and has_letter(t) for w, t in zip(words, texts)], bool)
             pred = [langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.where(known, posterior, 0.0))], [*batch.schema.names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.where(known, posterior, 0.0))], [*batch.schema.names, pred_col, score_col])
 
-    return kept.mapInArrow(run, with_fields(kept, lang_pred="string", score="double"))
+    return kept.mapInArrow(run, with_fields(kept, **{pred_col: "string", score_col: "double"}))

@@ -217,7 +217,8 @@ def count_of(kind: str) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in brackets, the other columns as they are."""
-    found = find(docs, text_col)
+    hidden = {c: f"_{i}_{c}" for i, c in enumerate(docs.columns) if c in ("base_spans", "spans", "key", "_key")}
+    found = find(docs.withColumnsRenamed(hidden), text_col)
     text = F.col(text_col)
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     begin = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
@@ -228,4 +229,4 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
         return F.when(s["start"] >= acc["at"], on).otherwise(acc)
 
     new = F.aggregate(by_start, begin, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, new).otherwise(text)).select(docs.columns)
+    return found.withColumn(text_col, F.when(F.size("spans") > 0, new).otherwise(text)).drop("spans", "base_spans").withColumnsRenamed({v: k for k, v in hidden.items()}).select(docs.columns)
