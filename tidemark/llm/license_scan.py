@@ -84,7 +84,8 @@ def confirm(block: list[str], wording: tuple) -> tuple[int, int, int] | None:
             lead = [k for k in range(max(0, at - LEAD_WITHIN), at) if block[k] in LEADS]
             if lead:
                 want = words[: len(words) - len(name)]
-                return lead[0], at + len(name), _differences(want, block[lead[0] : at])
+                have = block[lead[0] : at]
+                return lead[0], at + len(name), min(_differences(want, have), _differences(want[:-1], have))  # with and without an article
         return None
     m = SequenceMatcher(None, words, block, autojunk=False)
     a, b, n = m.find_longest_match(0, len(words), 0, len(block))
