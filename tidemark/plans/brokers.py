@@ -17,10 +17,11 @@ SELECT *, buy - sell AS net, buy + sell AS vol, pq_buy / (buy + 0.00000001) AS a
        row_number() OVER (PARTITION BY StockId, Date ORDER BY buy + sell DESC, BrokerId) AS by_vol,
        row_number() OVER (PARTITION BY StockId, Date ORDER BY buy - sell DESC, BrokerId) AS by_net,
        row_number() OVER (PARTITION BY StockId, Date ORDER BY sell - buy DESC, BrokerId) AS by_net_sell,
+       row_number() OVER (PARTITION BY StockId, Date ORDER BY buy - sell, BrokerId DESC) AS by_net_low,
        (rank() OVER (PARTITION BY StockId, Date ORDER BY sell) + (count(*) OVER (PARTITION BY StockId, Date, sell) - 1) / 2.0) / count(*) OVER (PARTITION BY StockId, Date) AS sell_rank,
        sum(buy + sell) OVER (PARTITION BY StockId, Date) AS day_vol, count(*) OVER (PARTITION BY StockId, Date) AS brokers
 FROM (SELECT StockId, Date, BrokerId, sum(BuyQtm) AS buy, sum(SellQtm) AS sell, sum(Price * BuyQtm) AS pq_buy, sum(Price * SellQtm) AS pq_sell,
-             sum(CASE WHEN BuyQtm > 0 THEN 1 ELSE 0 END) AS entries
+             sum(CASE WHEN BuyQtm > 0 THEN 1 ELSE 0 END) AS entries, count(*) AS fills
       FROM {brokers} GROUP BY StockId, Date, BrokerId) AS own""",
 )
 TOP5_BUY = "sum(CASE WHEN by_buy <= 5 AND net > 0 THEN net ELSE 0 END)"
@@ -124,3 +125,50 @@ FEATURES += [
         ("d", "SELECT a.StockId, a.Date, coalesce(small, 0.0) AS small, coalesce(sold, 0.0) AS sold FROM {daily} AS a LEFT JOIN s ON a.StockId = s.StockId AND a.Date = s.Date LEFT JOIN n ON a.StockId = n.StockId AND a.Date = n.Date")), (
         ("sm", "rolling_mean", "small", 20, 5), ("nm", "rolling_mean", "sold", 20, 5), ("x", "sql", "small / (sm + 0.00001) * CASE WHEN sold <= 0 THEN 0.0 ELSE coalesce(sold / (nm + 0.00001), 0.0) END"), *Z20, *c5("z")), ("brokers", "ticks", "daily")),
 ]
+
+
+def scripts(name: str, description: str, columns: str, steps: tuple, least: int = 3) -> Feature:
+    """A broker feature of its own: days with too few fills count as zero."""
+    guard = f"SELECT StockId, Date, CASE WHEN sum(fills) >= {least} THEN 1.0 ELSE 0.0 END AS whole, {columns} FROM b {BY_DAY}"
+    return Feature(name, "broker_only", description, (B, ("d", guard)), steps, ("brokers",))
+
+
+def second(column: str, out: str = "d2") -> tuple[tuple, ...]:
+    """The second difference of a smoothed series."""
+    return ((f"{column}_e", "ewm", column, 3, 1), (f"{column}_d", "diff", f"{column}_e"), (out, "diff", f"{column}_d"))
+
+
+def net_of(where: str, name: str) -> str:
+    return f"1.0 * sum(CASE WHEN {where} THEN net ELSE 0 END) AS {name}"
+
+
+Z20_FINE = (("z", "zscore", "x", 20, 10, 1e-10),)
+HHI_OF = "coalesce(sum(1.0 * {0} * {0}) / nullif(1.0 * sum({0}) * sum({0}), 0), 0.0)"
+
+FEATURES += [
+    scripts("f_nld_fvs_controlling_dot", "curvature of the largest brokers' net buying times that of the rest", f"{net_of('by_vol <= 5', 'lead0')}, {net_of('by_vol > 5', 'rest0')}", (
+        ("lead", "sql", "whole * lead0"), ("rest", "sql", "whole * rest0"), *second("lead", "d2a"), *second("rest", "d2b"), ("x", "sql", "coalesce(d2a * d2b * sign(lead), 0.0)"), *Z20_FINE, *c5("z"))),
+    scripts("f_nld_subcritical_pitchfork", "curvature of the five leading net buyers' buying, by the day's sign", f"{net_of('by_net <= 5', 'lead0')}, sign(1.0 * sum(net)) AS way", (
+        ("lead", "sql", "whole * lead0"), *second("lead"), ("x", "sql", "coalesce(d2 * way * whole, 0.0)"), *Z20_FINE, *c5("z"))),
+    scripts("f_nld_symmetry_restoring_phase", "curvature of the angle between selling and buying concentration", f"{HHI_OF.format('buy')} AS hb, {HHI_OF.format('sell')} AS hs, sign(1.0 * sum(net)) AS way", (
+        ("angle", "sql", "atan2(whole * hs + 0.0000000001, whole * hb + 0.0000000001)"), *second("angle"), ("x", "sql", "coalesce(d2 * way * whole, 0.0)"), *Z20_FINE, *c5("z"))),
+    scripts("f_nld_pyr_pv_eigen_gap", "gap of the eigenvalues of leading buyers' and sellers' trades", ", ".join(f"1.0 * sum(CASE WHEN {w} <= 5 THEN {c} ELSE 0 END) AS {n}" for w, c, n in (("by_net", "buy", "bb"), ("by_net", "sell", "bs"), ("by_net_low", "buy", "sb"), ("by_net_low", "sell", "ss"))) + ", count(*) AS k", (
+        ("total", "sql", "bb + bs + sb + ss + 4"),
+        ("gap", "sql", "2 * sqrt(power((bb - ss) / total / 2, 2) + (bs + 1) / total * (sb + 1) / total)"),
+        ("x", "sql", "CASE WHEN whole > 0 AND k >= 3 THEN gap * sign(bb - bs + sb - ss) ELSE 0.0 END"), *Z20_FINE, *c5("z")), 5),
+    scripts("f_nld_p53_antagonistic_cross", "turn of leading buyers' and sellers' net buying from one day to the next", f"{net_of('by_net <= 3', 'a0')}, {net_of('by_net_low <= 3', 'b0')}", (
+        ("a", "sql", "whole * a0 / (stddev_pop(whole * a0) OVER (PARTITION BY StockId) + 0.0000000001)"), ("b1", "sql", "whole * b0 / (stddev_pop(whole * b0) OVER (PARTITION BY StockId) + 0.0000000001)"),
+        ("before_a", "shift", "a"), ("before_b", "shift", "b1"), ("x", "sql", "before_a * b1 - before_b * a"), *Z20_FINE, *c5("z"))),
+    scripts("f_nld_hopf_partial_antiphase", "turn among changes of leading buyers, leading sellers and the rest", f"{net_of('by_net <= 5', 'a0')}, {net_of('by_net_low <= 5', 'b0')}, CASE WHEN count(*) > 10 THEN {net_of('by_net > 5 AND by_net_low > 5', 'r0').removesuffix(' AS r0')} ELSE 0.0 END AS r0", (
+        ("a", "sql", "whole * a0"), ("b1", "sql", "whole * b0"), ("r", "sql", "whole * r0"), ("da", "diff", "a"), ("db", "diff", "b1"), ("dr", "diff", "r"),
+        ("scale", "sql", "greatest(stddev_pop(da) OVER (PARTITION BY StockId), stddev_pop(db) OVER (PARTITION BY StockId), stddev_pop(dr) OVER (PARTITION BY StockId), 0.0000000001)"),
+        ("x", "sql", "da / scale * db / scale - db / scale * dr / scale"), *Z20_FINE, *c5("z"))),
+    with_ticks("f_gt_information_design_obfuscation", "turns of flags and uneven sizes in bins of 50 ticks, times the market's leading net selling", (
+        ("turn", "SELECT StockId, Date, floor(pos / 50) AS bin, q, n, CASE WHEN f <> lag(f) OVER (PARTITION BY StockId, Date, floor(pos / 50) ORDER BY pos) THEN 1 ELSE 0 END AS turned FROM t"),
+        ("bin", "SELECT StockId, Date, n, sum(turned) * (stddev_pop(q) / (avg(q) + 0.00000001)) AS hidden FROM turn GROUP BY StockId, Date, n, bin"),
+        ("o", "SELECT StockId, Date, CASE WHEN n < 100 THEN 0.0 ELSE avg(hidden) END AS hidden FROM bin GROUP BY StockId, Date, n"),
+        ("market", "SELECT Date, BrokerId, 1.0 * sum(sell - buy) AS sold FROM b GROUP BY Date, BrokerId"),
+        ("lead", "SELECT Date, sold, row_number() OVER (PARTITION BY Date ORDER BY sold DESC, BrokerId) AS rank FROM market"),
+        ("five", "SELECT Date, sum(sold) AS sold FROM lead WHERE rank <= 5 GROUP BY Date"),
+        ("d", "SELECT o.StockId, o.Date, hidden * coalesce(sold, 0.0) AS x FROM o LEFT JOIN five ON o.Date = five.Date")), (("e", "ewm", "x", 10, 1), ("z", "zscore", "e", 20), *c5("z"))),
+]

@@ -119,3 +119,28 @@ FEATURES = [
         ("l", f"SELECT StockId, Date, n, c, lag(c) {IN_DAY} AS before FROM c"),
         day("CASE WHEN max(n) >= 30 AND sum(c * c) >= 0.000000000000001 THEN sum(before * c) / nullif(sum(c * c), 0) END AS x", "l")), (("e", "ewm", "x", 5, 1), *c0("e"))),
 ]
+
+#: The day's own 80th percentile of sizes, and the median of the last 20 days' as it was the day before.
+LARGE = (
+    ("own", f"SELECT StockId, Date, QUANTILE(q, 0.8) AS q80 FROM t {BY_DAY}"),
+    ("rolled", "SELECT StockId, Date, q80, CASE WHEN count(q80) OVER w >= 10 THEN QUANTILE(q80, 0.5) OVER w END AS med FROM own WINDOW w AS (PARTITION BY StockId ORDER BY Date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"),
+    ("large", "SELECT StockId, Date, greatest(coalesce(lag(med) OVER (PARTITION BY StockId ORDER BY Date), q80), 1.0) AS least FROM rolled"),
+)
+
+FEATURES += [
+    tick("f_be_salience_compression_stealth", "large buys in a still bin of 500 ticks", (
+        *LARGE,
+        ("bin", """SELECT t.StockId, t.Date, sum(CASE WHEN q >= least THEN buy ELSE 0 END) / (coalesce(stddev_samp(p), 0.0) / (avg(p) + 0.00000001) + 0.00000001) AS hidden
+           FROM t JOIN large ON t.StockId = large.StockId AND t.Date = large.Date WHERE pos < floor(n / 500) * 500 GROUP BY t.StockId, t.Date, floor(pos / 500)"""),
+        day("max(hidden) AS x", "bin")), (("e", "ewm", "x", 5), ("z", "zscore", "e", 42), *c5("z"))),
+    tick("f_gt_trust_rebuilding_delay", "buying after the bin of most selling against buying before it", (
+        ("bin", "SELECT StockId, Date, floor(pos / 100) AS bin, 1.0 * sum(buy) AS buy, 1.0 * sum(sell) AS sell, max(floor(n / 100)) AS bins FROM t WHERE pos < floor(n / 100) * 100 GROUP BY StockId, Date, floor(pos / 100)"),
+        ("s", "SELECT *, first_value(bin) OVER (PARTITION BY StockId, Date ORDER BY sell DESC, bin ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS shock FROM bin"),
+        day("CASE WHEN max(bins) >= 7 AND max(shock) >= 1 AND max(shock) + 5 < max(bins) THEN 1 - avg(CASE WHEN bin > shock AND bin <= shock + 5 THEN buy END) / (avg(CASE WHEN bin < shock THEN buy END) + 0.00000001) END AS x", "s")), (*Z20, *c5("z"))),
+    tick("f_nld_ei_transition_eigen_dot", "mean moves after buys and others, weighted by how long the flags stay", (
+        ("g", f"SELECT StockId, Date, n, dp, CASE WHEN f = 1 THEN 0 ELSE 1 END AS s, lag(CASE WHEN f = 1 THEN 0 ELSE 1 END) {IN_DAY} AS before FROM t"),
+        ("c", f"""SELECT StockId, Date, max(n) AS n, 1.0 + count(CASE WHEN before = 0 AND s = 0 THEN 1 END) AS ee, 1.0 + count(CASE WHEN before = 0 AND s = 1 THEN 1 END) AS ei,
+           1.0 + count(CASE WHEN before = 1 AND s = 0 THEN 1 END) AS ie, 1.0 + count(CASE WHEN before = 1 AND s = 1 THEN 1 END) AS ii,
+           coalesce(avg(CASE WHEN s = 0 THEN dp END), 0.0) AS e, coalesce(avg(CASE WHEN s = 1 THEN dp END), 0.0) AS i FROM g {BY_DAY}"""),
+        ("d", "SELECT StockId, Date, CASE WHEN n < 30 THEN 0.0 ELSE (ie / (ie + ii) * e + ei / (ee + ei) * i) / (ie / (ie + ii) + ei / (ee + ei)) END AS x FROM c")), (("z", "zscore", "x", 20, 10, 1e-10), *c5("z"))),
+]
