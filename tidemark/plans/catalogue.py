@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.plans import brokers, crosses, daily, ticks
-from tidemark.plans.feature import Feature
+from tidemark.plans.columns import TABLES
+from tidemark.plans.feature import Columns, Feature
 from tidemark.sources.sql import BROKERS, DAILY, TICKS
 from tidemark.sources.tables import inputs
 
@@ -29,10 +30,10 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f.name, f.combination, f.description, list(f.reads)) for f in FEATURES.values()], "name string, combination string, description string, reads array<string>")
 
 
-def _query(feature: Feature) -> Callable[[SparkSession, str], DataFrame]:
+def _query(feature: Feature | Columns) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: feature(**inputs(spark, sf_dir))
 
 
 _SQL = {"ticks": TICKS.format(lineitem="lineitem"), "daily": DAILY.format(ticks="ticks"), "brokers": BROKERS.format(ticks="ticks")}
-QUERIES = {n: _query(f) for n, f in FEATURES.items()}
-ORACLES = {n: f.sql(_SQL) for n, f in FEATURES.items()}
+QUERIES = {n: _query(f) for n, f in (FEATURES | {t.name: t for t in TABLES}).items()}
+ORACLES = {n: f.sql(_SQL) for n, f in (FEATURES | {t.name: t for t in TABLES}).items()}

@@ -48,6 +48,31 @@ class Feature:
         return _duckdb(f"WITH {', '.join(parts)} SELECT StockId, Date, round({self.steps[-1][0]}, 6) + 0.0 AS {self.name} FROM ({query}) AS done")
 
 
+@dataclass(frozen=True)
+class Columns:
+    """Several columns of a stock and day made in one pass over the same plan."""
+
+    name: str
+    description: str
+    queries: tuple[tuple[str, str], ...]
+    columns: tuple[tuple[str, str], ...]
+    source: str
+    reads: tuple[str, ...] = field(default=("ticks",))
+
+    def _text(self) -> str:
+        named = ", ".join(f"{n} AS ({q})" for n, q in self.queries)
+        exprs = ", ".join(f"round(CAST({e} AS DOUBLE), 6) + 0.0 AS {c}" for c, e in self.columns)
+        return f"{named + ' ' if named else ''}SELECT StockId, Date, {exprs} FROM {self.source} GROUP BY StockId, Date"
+
+    def __call__(self, **inputs: DataFrame) -> DataFrame:
+        spark = inputs[self.reads[0]].sparkSession
+        return spark.sql(_spark("WITH " + self._text()), **{k: inputs[k] for k in self.reads})
+
+    def sql(self, inputs: dict[str, str]) -> str:
+        parts = [f"{k} AS ({inputs[k]})" for k in ("ticks", *(r for r in self.reads if r != "ticks"))]
+        return _duckdb(f"WITH {', '.join(parts)}, " + self._text().format(**{k: k for k in inputs}))
+
+
 def _spark(text: str) -> str:
     return doubles(text).replace("QUANTILE(", "percentile(").replace("DAYS_ORDER", "OVER (PARTITION BY StockId ORDER BY Date)")
 
