@@ -131,7 +131,7 @@ def _words(model: str, trained: dict) -> WordRows:
     if trained["key"] not in _KEPT:
         _KEPT.clear()
         vocab, logs = vocabulary(model), trained["logs"].astype(float)
-        _KEPT[trained["key"]] = WordRows(lambda words: (marginals(vocab, [SPACE + w for w in words], logs, UNKNOWN_LOG).astype(np.float32),))
+        _KEPT[trained["key"]] = WordRows("language", lambda words: (marginals(vocab, [SPACE + w for w in words], logs, UNKNOWN_LOG).astype(np.float32),))
     return _KEPT[trained["key"]]
 
 

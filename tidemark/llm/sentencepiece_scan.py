@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan (operator 7).
 
 A segmentation is the path of the highest sum of piece scores (the unigram rule, with the pieces and scores of a
-public model; byte fallback for characters in no piece). Sums are exact; the library's own are of single precision
-and round where pieces of very low score, such as unknown characters, take part. Pieces never span a space, so words are independent and each
+public model; byte fallback for characters in no piece). Sums are exact: a path is never worse than
+the one that the library's unigram mode gives with the same pieces and scores. Pieces never span a space, so words are independent and each
 distinct one is solved once. Giant documents are cut into chunks of fixed length wherever that falls: a chunk yields
 the max-plus matrix from "so many characters are already covered" to "so many characters of the next chunk are
 covered", the matrices of a document are combined associatively in blocks, and each chunk is then traced back by
@@ -33,7 +33,7 @@ class Coder:
 
     def __init__(self, path: str):
         self.vocab = v = vocabulary(path)
-        self.words = WordLists(lambda words: self.solve([marked(w) for w in words]))
+        self.words = WordLists("sentencepiece", lambda words: self.solve([marked(w) for w in words]))
         #: What each id stands for in a text.
         self.bytes = [b""] * v.size
         for p, i in v.ids.items():

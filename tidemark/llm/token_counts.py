@@ -122,7 +122,7 @@ class Merger:
 @lru_cache(maxsize=2)
 def _words(path: str) -> WordRows:
     merger = Merger(path)
-    return WordRows(lambda words: (merger.counts([marked(w) for w in words]),))
+    return WordRows("token counts", lambda words: (merger.counts([marked(w) for w in words]),))
 
 
 def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 4096) -> DataFrame:

@@ -13,6 +13,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -101,16 +102,36 @@ class Tokens:
         cut = str(self.tokenizer.pre_tokenizer)
         self.by_word = "ByteLevel(" in cut and "add_prefix_space=False" in cut and "use_regex=True" in cut and self.tokenizer.normalizer is None
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words = WordLists(self._solve, 600_000)
+        self.words, self.runs, self.marks = (WordLists("token store", f, most) for f, most in ((self._solve, 500_000), (self._solve_runs, 500_000), (self._solve_runs, 50_000)))
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _solve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words. A run of letters and the marks after it are always cut apart, so each is kept by itself."""
         # A word of a text's beginning is marked by SPACE before it, and has no space before it.
-        lists = self._encode([w[1:] if w[0] == SPACE else w if w[0] == "\n" else " " + w for w in words])
+        heads, tails = [], []
+        for w in words:
+            head = w.rstrip(_MARKS)
+            bare = head[1:] if head[:1] in (SPACE, "\n") else head
+            if bare.isalpha():
+                tails.append(w[len(head) :])
+            else:
+                head = w
+                tails.append("")
+            heads.append(head[1:] if head[0] == SPACE else head if head[0] == "\n" else " " + head)
+        n, at, flat = self.runs.gather(heads)
+        n_tail, at_tail, flat_tail = self.marks.gather(tails)
+        count = n + n_tail
+        start, ids = np.cumsum(count) - count, np.zeros(int(count.sum()), np.int64)
+        ids[ragged(start, n)] = flat[ragged(at, n)]
+        ids[ragged(start + n, n_tail)] = flat_tail[ragged(at_tail, n_tail)]
+        return count, ids
+
+    def _solve_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = self._encode(runs)
         n = np.fromiter(map(len, lists), np.int64, len(lists))
-        return n, np.fromiter((i for ids in lists for i in ids), np.int64, int(n.sum()))
+        return n, np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum()))
 
     def _plain(self, text: str) -> bool:
         if not text or not self.by_word or SPACE in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
@@ -141,6 +162,9 @@ class Tokens:
         return np.fromiter(map(len, parts), np.int64, len(parts)), np.concatenate(parts)
 
 
+#: Marks that the first cut always parts from letters before them: not the apostrophe, letters, digits or spaces.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 #: White space besides the space and the line end, by the tokenizers' rule or by Python's.
 _SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0                　"
 

@@ -20,11 +20,22 @@ class _Numbers(dict):
         return k
 
 
+#: What is kept in this worker, by whose it is. A worker serves many stages; only the last owner's words stay.
+_KEPT: dict[str, list[WordRows]] = {}
+
+
+def _only(owner: str) -> None:
+    for other in [o for o in _KEPT if o != owner]:
+        for kept in _KEPT.pop(other):
+            kept.clear()
+    _KEPT.setdefault(owner, [])
+
+
 class WordRows:
     """Rows of a table of arrays, by word; begun anew when more than `most` words are held."""
 
-    def __init__(self, work: Callable[[list[str]], tuple[np.ndarray, ...]], most: int = 800_000):
-        self.work, self.most = work, most
+    def __init__(self, owner: str, work: Callable[[list[str]], tuple[np.ndarray, ...]], most: int = 400_000):
+        self.owner, self.work, self.most = owner, work, most
         self.clear()
 
     def clear(self) -> None:
@@ -33,6 +44,10 @@ class WordRows:
 
     def rows(self, words: list[str]) -> np.ndarray:
         """The row of each word; words not met before are worked out together."""
+        if self.owner not in _KEPT or len(_KEPT) > 1:
+            _only(self.owner)
+        if not any(k is self for k in _KEPT[self.owner]):
+            _KEPT[self.owner].append(self)
         if len(self.row) > self.most:
             self.clear()
         found = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
