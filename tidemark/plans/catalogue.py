@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import brokers, crosses, daily, ticks
+from tidemark.plans import brokers, crosses, daily, ladder, ticks
 from tidemark.plans.columns import TABLES
 from tidemark.plans.feature import Columns, Feature
 from tidemark.sources.sql import BROKERS, DAILY, TICKS
 from tidemark.sources.tables import inputs
 
-FEATURES: dict[str, Feature] = {f.name: f for part in (daily, ticks, brokers, crosses) for f in part.FEATURES}
+FEATURES: dict[str, Feature] = {f.name: f for part in (daily, ticks, brokers, crosses, ladder) for f in part.FEATURES}
 
 
 def compute(names: list[str], **tables: DataFrame) -> DataFrame:
