@@ -58,3 +58,20 @@ def test_compute_and_errors(spark, tables):
     with pytest.raises(ValueError):
         require(tables["daily"], ["no_such_column"])
     assert catalogue.catalogue(spark).count() == len(catalogue.FEATURES)
+
+
+def test_any_function_of_a_day(tables):
+    from tidemark.operators.groups import daily_feature
+
+    def share(day):
+        if day["Date"].iloc[0] % 3 == 0:
+            raise ValueError("no value")
+        return day["q"].max() / day["q"].sum()
+
+    got = daily_feature(tables["ticks"].select("StockId", "Date", "q"), share, "x").toPandas()
+    day = tables["ticks"].toPandas().groupby(["StockId", "Date"])["q"].agg(lambda q: q.max() / q.sum()).reset_index()
+    day.loc[day["Date"] % 3 == 0, "q"] = 0.0
+    r = day.groupby("StockId")["q"].rolling(20, min_periods=10)
+    day["z"] = ((day["q"] - r.mean().reset_index(0, drop=True)) / (r.std().reset_index(0, drop=True) + 1e-10)).fillna(0).clip(-5, 5)
+    both = got.merge(day, on=["StockId", "Date"])
+    assert len(both) == len(day) and (both["x"] - both["z"]).abs().max() < 1e-9

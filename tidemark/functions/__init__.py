@@ -1 +1 @@
-
+"""Column transforms."""

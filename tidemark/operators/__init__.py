@@ -1 +1 @@
-
+"""Operators that take functions."""

@@ -1 +1 @@
-
+"""Features as plans."""

@@ -1 +1 @@
-
+"""Where data comes from and goes to."""
