@@ -40,5 +40,17 @@ FROM doc JOIN item USING (s) JOIN size USING (item_id)
 GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(0.8 * n - 1e-9)
 """
 
+OP6_SQL = """
+WITH RECURSIVE
+     t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(w) >= 4 THEN w[i:i+3] ELSE w END, ' ') AS s
+           FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM t WHERE len(w) > 0)),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s AS a JOIN s AS b ON a.s = b.s JOIN n AS x ON a.doc_id = x.doc_id JOIN n AS y ON b.doc_id = y.doc_id
+               WHERE 85 * greatest(x.n, y.n) <= 100 * least(x.n, y.n) GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+     reach AS (SELECT doc_id AS a, doc_id AS r FROM t UNION SELECT l.b, r FROM reach JOIN links AS l ON reach.a = l.a)
+SELECT t.doc_id, coalesce(n.n, 0) AS n_shingles, min(r) AS component_id FROM t LEFT JOIN n ON t.doc_id = n.doc_id JOIN reach ON t.doc_id = reach.a GROUP BY t.doc_id, n.n
+"""
+
 QUERIES = {"op6_jaccard_join": op6_jaccard_join, "op9_decontamination": op9_decontamination, "op10_personal_data": op10_personal_data}
-ORACLES = {"op9_decontamination": OP9_SQL}
+ORACLES = {"op6_jaccard_join": OP6_SQL, "op9_decontamination": OP9_SQL}
