@@ -27,6 +27,8 @@ from tidemark.llm.words import WordLists
 MAGIC, BITS, BLOCK = b"DAC1", 8, 512
 #: A segment is closed when it holds so many tokens; a longer document is a segment of its own.
 SEGMENT = 1 << 18
+#: New words that are encoded as one text.
+TOGETHER = 500
 
 _COUNT = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
@@ -101,6 +103,9 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         cut = str(self.tokenizer.pre_tokenizer)
         self.by_word = "ByteLevel(" in cut and "add_prefix_space=False" in cut and "use_regex=True" in cut and self.tokenizer.normalizer is None
+        #: Ids whose piece begins with a space, which the byte-level alphabet spells so.
+        self.begins = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.begins[[i for piece, i in self.tokenizer.get_vocab().items() if piece[0] == "\u0120"]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.words, self.runs, self.marks = (WordLists("token store", f, most) for f, most in ((self._solve, 500_000), (self._solve_runs, 500_000), (self._solve_runs, 50_000)))
 
@@ -129,9 +134,20 @@ class Tokens:
         return count, ids
 
     def _solve_runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = self._encode(runs)
-        n = np.fromiter(map(len, lists), np.int64, len(lists))
-        return n, np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum()))
+        """Ids of runs. Those that are a space and letters go together as one text: each begins at an id with a space."""
+        joint = np.array([k for k, r in enumerate(runs) if r[:1] == " " and r[1:].isalpha()], np.int64)
+        rest = np.setdiff1d(np.arange(len(runs)), joint)
+        texts = ["".join([runs[k] for k in joint[at : at + TOGETHER].tolist()]) for at in range(0, len(joint), TOGETHER)]
+        own = np.fromiter(chain.from_iterable(self._encode(texts)), np.int64)
+        begins = np.flatnonzero(self.begins[own])
+        n = np.zeros(len(runs), np.int64)
+        n[joint] = np.diff(np.r_[begins, len(own)])
+        lists = self._encode([runs[k] for k in rest.tolist()])
+        n[rest] = [len(x) for x in lists]
+        at, ids = np.cumsum(n) - n, np.zeros(int(n.sum()), np.int64)
+        ids[ragged(at[joint], n[joint])] = own
+        ids[ragged(at[rest], n[rest])] = np.fromiter(chain.from_iterable(lists), np.int64)
+        return n, ids
 
     def _plain(self, text: str) -> bool:
         if not text or not self.by_word or SPACE in text or "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n":
