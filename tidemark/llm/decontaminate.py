@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import stored
+
 WORDS, THRESHOLD, MINIMA = 5, 0.8, 4
 #: Sizes of items in a partition grow by this factor; each partition has its own number of minima.
 GROWTH = 2.0
@@ -64,7 +66,8 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     seen = own.select("doc", F.explode(shingles(F.col("w"))).alias("h"))
     pairs = seen.join(_small(known, total), "h").select("doc", "item").distinct()
     # Verification: the same documents again, against all shingles of their candidates only.
-    hit = own.join(pairs.groupBy("doc").agg(F.collect_set("item").alias("items")), "doc")
+    pairs = stored(pairs.groupBy("doc").agg(F.collect_set("item").alias("items")), "candidates")
+    hit = own.join(_small(pairs, pairs.count()), "doc")  # few documents hold any item: the others aren't moved
     again = hit.select("doc", "items", F.explode(F.array_distinct(shingles(F.col("w")))).alias("h"))
     found = again.join(_small(every, total), "h").filter(F.array_contains("items", F.col("item")))
     counted = found.groupBy("doc", "item", "n").agg(F.count_distinct("h").alias("n_found"))
