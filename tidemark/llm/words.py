@@ -34,7 +34,7 @@ def _only(owner: str) -> None:
 class WordRows:
     """Rows of a table of arrays, by word; begun anew when more than `most` words are held."""
 
-    def __init__(self, owner: str, work: Callable[[list[str]], tuple[np.ndarray, ...]], most: int = 400_000):
+    def __init__(self, owner: str, work: Callable[[list[str]], tuple[np.ndarray, ...]], most: int = 300_000):
         self.owner, self.work, self.most = owner, work, most
         self.clear()
 
