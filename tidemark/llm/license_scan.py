@@ -26,6 +26,8 @@ CUES = r"(?i)\b(licen[cs]|copyright|permission is|permission to|redistribution|s
 BEFORE, AFTER = 40, 280
 #: The same for notices, which are short.
 NEAR = (12, 24)
+#: Words that the longest wording may take in a document.
+LONGEST = 160
 #: A wording is looked at if it saves at least this many bytes; so many of the best are.
 SAVES, RANKED = 4, 8
 #: A text is confirmed if at most this share of its words differs.
@@ -106,30 +108,44 @@ def _differences(want: list[str], have: list[str]) -> int:
     return sum(max(b - a, d - c) for op, a, b, c, d in SequenceMatcher(None, want, have, autojunk=False).get_opcodes() if op != "equal")
 
 
+def best(block: list[str], kind: str) -> tuple[tuple, tuple[int, int, int], int] | None:
+    """(wording, its place and differences, bytes saved) of the wording of a kind that fits the block best; None if none is there."""
+    hit = None
+    for saved, wording in wordings().ranked(block, kind):
+        got = confirm(block, wording)
+        # Fewer differing words, then longer names or texts, then more bytes saved.
+        if got and (hit is None or (got[2], -len(wording[3]), -saved) < hit[0]):
+            hit = ((got[2], -len(wording[3]), -saved), (wording, got, saved))
+    return hit and hit[1]
+
+
 def scan_text(text: str) -> list[tuple[str, str, int, int, int, int]]:
     """(licence, kind, start, end, bytes saved, words that differ) of each licence found, in order of place.
 
-    Texts are looked for first, in blocks as long as they are; then notices near each cue, outside the texts found.
+    Texts are looked for first, in blocks longer than they are; then notices near each cue, outside the texts found.
+    Blocks overlap, so that a wording is whole in the block of its own cue whatever stands before it.
     """
     words, spans = words_of(text)
     starts, found = [s for s, _ in spans], []
     cues = sorted({max(0, bisect_right(starts, m.start()) - 1) for m in re.finditer(CUES, text)})
     for kind, before, after in (("text", BEFORE, AFTER), ("notice", *NEAR)):
-        upto = 0
         for at in cues:
-            if at < upto:
-                continue
-            low, upto = max(upto, at - before), min(len(words), at + after)
-            while True:
-                hit = None
-                for saved, wording in wordings().ranked(words[low:upto], kind):
-                    got = confirm(words[low:upto], wording)
-                    # Fewer differing words, then longer names or texts, then more bytes saved.
-                    if got and (hit is None or (got[2], -len(wording[3]), -saved) < hit[0]):
-                        hit = ((got[2], -len(wording[3]), -saved), wording, got, saved)
+            while words[at]:  # each cue has its own whole window, until it lies in a wording found
+                low, upto = max(0, at - before), min(len(words), at + after)
+                hit = best(words[low:upto], kind)
+                # What begins too near the end of the window may be cut there: it is looked at again with its own window.
+                while hit and upto < len(words) and low + hit[1][0] + LONGEST > upto and low + hit[1][0] > at:
+                    begins = low + hit[1][0]
+                    own = max(0, begins - before), min(len(words), begins + after)
+                    again = best(words[own[0] : own[1]], kind)
+                    if again is None:
+                        break
+                    (low, upto), hit = own, again
+                    if low + hit[1][0] <= begins:
+                        break
                 if hit is None:
                     break
-                _, wording, (a, b, differ), saved = hit
+                wording, (a, b, differ), saved = hit
                 found.append((wording[0], kind, spans[low + a][0], spans[low + b - 1][1], saved, differ))
                 words[low + a : low + b] = [""] * (b - a)  # look for others in the rest
     return sorted(found, key=lambda f: f[2])
