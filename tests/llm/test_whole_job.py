@@ -22,3 +22,8 @@ def test_licenses_behind_other_cues():
 def test_a_text_cut_by_a_block_is_not_taken_for_a_shorter_one():
     for gap in range(150, 290, 7):
         assert names("Copyright 2020 " + "word " * gap + license_texts.TEXTS["BSD-3-Clause"]) == [("BSD-3-Clause", "text")]
+
+
+def test_licenses_behind_those_that_save_more_bytes():
+    assert ("ISC", "notice") in names("licensed under the GNU General Public License v2 or the ISC License")
+    assert ("CC0-1.0", "notice") in names("Licensed under the GNU General Public License v3, documentation under CC0 1.0.")

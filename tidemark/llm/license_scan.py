@@ -1,8 +1,8 @@
 """Licence scan by conditional compression (operator 1).
 
 Around words that licences use, a document gives candidate blocks. A block is compressed by zstandard alone and with
-each licence's wording as a raw dictionary; wordings are ranked by how many bytes they save. The best are confirmed, or
-not, by the exact differences in wording between them and the part of the block that they match.
+each licence's wording as a raw dictionary; wordings are ranked by how many bytes they save. All that save enough are
+confirmed, or not, by the exact differences in wording between them and the part of the block that they match.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ BEFORE, AFTER = 40, 280
 NEAR = (12, 24)
 #: Words that the longest wording may take in a document.
 LONGEST = 160
-#: A wording is looked at if it saves at least this many bytes; so many of the best are.
-SAVES, RANKED = 4, 8
+#: A text is looked at if it saves at least this many bytes. Notices always are: the shortest save less.
+SAVES = 4
 #: A text is confirmed if at most this share of its words differs.
 DIFFERS = 0.1
 #: A notice has one of these words at most so many words before the licence's name.
@@ -64,11 +64,11 @@ class Wordings:
                 self.all.append((name, kind, words, words_of(raw)[0], own))
 
     def ranked(self, block: list[str], kind: str) -> list[tuple[int, tuple]]:
-        """The wordings of a kind that save most bytes of the block."""
+        """The wordings of a kind that may be in the block, those that save most bytes of it first."""
         data = " ".join(block).encode()
         alone = len(self.plain.compress(data))
         saved = [(alone - len(w[4].compress(data)), w) for w in self.all if w[1] == kind]
-        return sorted((s for s in saved if s[0] >= SAVES), key=lambda s: (-s[0], s[1][0]))[:RANKED]
+        return sorted((s for s in saved if kind == "notice" or s[0] >= SAVES), key=lambda s: (-s[0], s[1][0]))
 
 
 @lru_cache(maxsize=1)
