@@ -27,3 +27,19 @@ def test_a_text_cut_by_a_block_is_not_taken_for_a_shorter_one():
 def test_licenses_behind_those_that_save_more_bytes():
     assert ("ISC", "notice") in names("licensed under the GNU General Public License v2 or the ISC License")
     assert ("CC0-1.0", "notice") in names("Licensed under the GNU General Public License v3, documentation under CC0 1.0.")
+
+
+def test_notices_in_other_spellings():
+    for text, want in [
+        ("SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]), ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT", "Apache-2.0"]), ("Licensed under Apache-2.0.", ["Apache-2.0"]),
+        ("available under CC-BY-4.0", ["CC-BY-4.0"]), ("under CC0-1.0", ["CC0-1.0"]), ("Released under the MIT licence.", ["MIT"]), ("License: MIT", ["MIT"]),
+        ("licensed under the GNU General Public License v3", ["GPL-3.0"]), ("released under GPLv2", ["GPL-2.0"]), ("under the Apache License 2.0", ["Apache-2.0"]),
+        ("under the GNU Generel Public License, version 3", ["GPL-3.0"]), ("licensed under the GNU General Public License v2 or the ISC License", ["GPL-2.0", "ISC"]),
+    ]:
+        assert [n for n, _ in names(text)] == want, text
+    # Other versions, other licences and other words stay apart.
+    for text in ["Licensed under the Apache License, Version 1.1", "under the GNU Library General Public License, version 2", "under the Mozilla Public License 1.1", "published by MIT", "Released in Ulm mit Apache", "GPL"]:
+        assert names(text) == [], text
+    for name, spellings in license_texts.SPELLINGS.items():
+        for s in spellings:
+            assert [n for n, _ in names(f"This is licensed under the {s}. And more.")] == [name], s

@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import small_batches, text_slices
-from tidemark.llm.license_texts import NAMES, TEXTS
+from tidemark.llm.license_texts import SPELLINGS, TEXTS
 
 #: Words that begin a candidate block, as a pattern for Spark and Python alike.
-CUES = r"(?i)\b(licen[cs]|copyright|permission is|permission to|redistribution|spdx|free software|source code form|cc by|cc0|provided .as.is)"
+CUES = r"(?i)\b(licen[cs]|copyright|permission is|permission to|redistribution|spdx|free software|source code form|cc[\s-]+by|cc0|creative commons|[al]?gpl|mpl|epl|bsl|bsd|apache|artistic|provided .as.is)"
 #: Words before and after the first cue of a block: more than the longest wording has.
 BEFORE, AFTER = 40, 280
 #: The same for notices, which are short.
@@ -33,14 +33,29 @@ SAVES = 4
 #: A text is confirmed if at most this share of its words differs.
 DIFFERS = 0.1
 #: A notice has one of these words at most so many words before the licence's name.
-LEADS, LEAD_WITHIN = set("licensed license licence released distributed available covered published under identifier".split()), 8
+LEADS, LEAD_WITHIN = set("licensed license licence released distributed available covered published under identifier spdx-license-identifier".split()), 8
+#: The lead of an identifier, and the words that may stand between identifiers and between names that share a lead.
+TAG, JOINS = "spdx-license-identifier", set("or and with either the a an".split())
+#: A notice's name may differ from a spelling of at least LONG_NAME words by NAME_DIFFERS words, if these are of the
+#: words that don't tell licences apart: left out, put in, or written LIKE them by this share of the letters.
+LONG_NAME, NAME_DIFFERS, LIKE = 4, 1, 0.7
+PLAIN = set("license version general public software the a of terms v ver release as international".split())
 
 #: zstandard does not look up the first and last bytes of a dictionary, so the wording stands between others.
 PAD = bytes(range(128, 192))
+#: What stands in place of the words of a notice found, without and with the SPDX tag.
+NOTICE, TAGGED = "\x00", "\x01"
+FOUND = ("", NOTICE, TAGGED)
 
 _WORDS = re.compile(r"[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*")
 
 
+def plain(word: str) -> str:
+    """A word as notices are compared by: one spelling of licence, and versions without their v."""
+    word = word.replace("licence", "license")
+    return word[1:] if re.fullmatch(r"v[0-9.]+", word) else word
+
+
 def words_of(text: str) -> tuple[list[str], list[tuple[int, int]]]:
     found = [(m[0].lower(), m.span()) for m in _WORDS.finditer(text)]
     return [w for w, _ in found], [s for _, s in found]
@@ -56,12 +71,15 @@ class Wordings:
         how = z.ZstdCompressionParameters.from_level(1, strategy=z.STRATEGY_FAST, target_length=1, min_match=4, hash_log=14, write_content_size=False, write_dict_id=False)
         self.plain = z.ZstdCompressor(compression_params=how)
         self.all = []
-        for kind, table in (("notice", NAMES), ("text", TEXTS)):
-            for name, raw in table.items():
-                words = words_of(raw if kind == "text" else f"licensed under the {raw}")[0]
-                d = z.ZstdCompressionDict(PAD + " ".join(words).encode() + PAD, dict_type=z.DICT_TYPE_RAWCONTENT)
+        for kind, table in (("notice", SPELLINGS), ("text", {name: [raw] for name, raw in TEXTS.items()})):
+            for name, raws in table.items():
+                words = words_of(raws[0] if kind == "text" else f"licensed under the {raws[0]}")[0]
+                # A notice's dictionary holds its other spellings too; the first one stands last, where matches cost least.
+                data = " ".join(" ".join(words_of(raw)[0]) for raw in raws[:0:-1])
+                d = z.ZstdCompressionDict(PAD + f"{data} {' '.join(words)}".strip().encode() + PAD, dict_type=z.DICT_TYPE_RAWCONTENT)
                 own = z.ZstdCompressor(compression_params=how, dict_data=d)
-                self.all.append((name, kind, words, words_of(raw)[0], own))
+                spelled = {(n := tuple(map(plain, words_of(raw)[0]))): frozenset(n) - PLAIN for raw in raws}
+                self.all.append((name, kind, words, words_of(raws[0])[0], own, spelled))
 
     def ranked(self, block: list[str], kind: str) -> list[tuple[int, tuple]]:
         """The wordings of a kind that may be in the block, those that save most bytes of it first."""
@@ -78,17 +96,9 @@ def wordings() -> Wordings:
 
 def confirm(block: list[str], wording: tuple) -> tuple[int, int, int] | None:
     """(first word, word after the last, words that differ) of the wording in the block; None if it isn't there."""
-    _, kind, words, name, _ = wording
+    _, kind, words, _, _, spelled = wording
     if kind == "notice":
-        for at in range(len(block) - len(name) + 1):
-            if block[at : at + len(name)] != name:
-                continue
-            lead = [k for k in range(max(0, at - LEAD_WITHIN), at) if block[k] in LEADS]
-            if lead:
-                want = words[: len(words) - len(name)]
-                have = block[lead[0] : at]
-                return lead[0], at + len(name), min(_differences(want, have), _differences(want[:-1], have))  # with and without an article
-        return None
+        return _notice(block, spelled)
     m = SequenceMatcher(None, words, block, autojunk=False)
     a, b, n = m.find_longest_match(0, len(words), 0, len(block))
     if n < 4:
@@ -103,6 +113,72 @@ def confirm(block: list[str], wording: tuple) -> tuple[int, int, int] | None:
     return (first, last, differ) if differ <= DIFFERS * len(words) else None
 
 
+def _notice(block: list[str], spelled: dict[tuple, frozenset]) -> tuple[int, int, int] | None:
+    """confirm() for a notice: the place of fewest differing words in lead and name, the longest name of those."""
+    present, hits = set(block), []
+    for name, telling in spelled.items():
+        if not telling <= present:
+            continue
+        n = len(name)
+        for at in [k for k, w in enumerate(block) if w == name[0]]:
+            if tuple(block[at : at + n]) == name:
+                size, differ = n, 0
+            elif n >= LONG_NAME and telling <= set(block[at : at + n + NAME_DIFFERS]):
+                size, differ = _near_name(block[at : at + n + NAME_DIFFERS], name)
+                if not size:
+                    continue
+            else:
+                continue
+            lead = _lead(block, at, n == 1 and not any(c.isdigit() for c in name[0]))
+            if lead:
+                hits.append((differ + lead[1], -size, at, lead[0]))
+    if not hits:
+        return None
+    differ, size, at, begin = min(hits)
+    return begin, at - size, differ
+
+
+def _near_name(have: list[str], name: tuple) -> tuple[int, int]:
+    """(words, differences) of the start of `have` that is the name but for words that don't tell licences apart; (0, 0) if none is."""
+    for size in (len(name), len(name) - 1, len(name) + 1):
+        part, differ = have[:size], 0
+        if len(part) < size or part[-1] != name[-1] or not set(part).isdisjoint(FOUND):
+            continue
+        for op, a, b, c, d in SequenceMatcher(None, name, part, autojunk=False).get_opcodes():
+            if op == "equal":
+                continue
+            out, new = name[a:b], part[c:d]
+            like = len(out) == len(new) == 1 and not any(x.isdigit() for x in new[0]) and SequenceMatcher(None, out[0], new[0]).ratio() >= LIKE
+            differ += max(b - a, d - c) if set(out) <= PLAIN and (like or set(new) <= PLAIN) else len(name)
+        if differ <= NAME_DIFFERS:
+            return size, differ
+    return 0, 0
+
+
+def _lead(block: list[str], at: int, tagged: bool) -> tuple[int, int] | None:
+    """(first word, words that differ) of the lead of a name at a place; None if there is none.
+
+    A name behind another notice and joining words shares that one's lead, as in a choice of two. tagged: the lead must
+    stand right before the name, as the SPDX tag (or others of its expression), `license` or `licensed under`.
+    """
+    joined = at
+    while joined and block[joined - 1] in JOINS:
+        joined -= 1
+    if tagged:
+        if block[max(0, joined - 2) : joined] == ["licensed", "under"]:
+            return joined - 2, 0
+        if at and block[at - 1] == "license":
+            return at - 1, 2
+        return (joined - 1, 0) if joined and block[joined - 1] == TAG else (at, 0) if 0 < joined < at and block[joined - 1] == TAGGED else None
+    if joined and block[joined - 1] == TAG:
+        return joined - 1, 0
+    leads = [k for k in range(max(0, at - LEAD_WITHIN), at) if block[k] in LEADS]
+    if leads:
+        have, want = block[leads[0] : at], ["licensed", "under", "the"]
+        return leads[0], min(_differences(want, have), _differences(want[:-1], have))  # with and without an article
+    return (at, 0) if 0 < joined < at and block[joined - 1] in (NOTICE, TAGGED) else None
+
+
 def _differences(want: list[str], have: list[str]) -> int:
     """Words left out, put in or changed."""
     return sum(max(b - a, d - c) for op, a, b, c, d in SequenceMatcher(None, want, have, autojunk=False).get_opcodes() if op != "equal")
@@ -123,14 +199,17 @@ def scan_text(text: str) -> list[tuple[str, str, int, int, int, int]]:
     """(licence, kind, start, end, bytes saved, words that differ) of each licence found, in order of place.
 
     Texts are looked for first, in blocks longer than they are; then notices near each cue, outside the texts found.
-    Blocks overlap, so that a wording is whole in the block of its own cue whatever stands before it.
+    Blocks overlap, so that a wording is whole in the block of its own cue whatever stands before it. A notice may use
+    any of the licence's spellings in license_texts, but for NAME_DIFFERS words that don't tell licences apart; other
+    names, and names without a version that licences are told apart by, are not looked for.
     """
     words, spans = words_of(text)
     starts, found = [s for s, _ in spans], []
     cues = sorted({max(0, bisect_right(starts, m.start()) - 1) for m in re.finditer(CUES, text)})
     for kind, before, after in (("text", BEFORE, AFTER), ("notice", *NEAR)):
+        words = list(map(plain, words)) if kind == "notice" else words
         for at in cues:
-            while words[at]:  # each cue has its own whole window, until it lies in a wording found
+            while words[at] not in FOUND:  # each cue has its own whole window, until it lies in a wording found
                 low, upto = max(0, at - before), min(len(words), at + after)
                 hit = best(words[low:upto], kind)
                 # What begins too near the end of the window may be cut there: it is looked at again with its own window.
@@ -147,7 +226,8 @@ def scan_text(text: str) -> list[tuple[str, str, int, int, int, int]]:
                     break
                 wording, (a, b, differ), saved = hit
                 found.append((wording[0], kind, spans[low + a][0], spans[low + b - 1][1], saved, differ))
-                words[low + a : low + b] = [""] * (b - a)  # look for others in the rest
+                tagged = TAG in words[low + a : low + b] or low + a >= 2 and TAGGED in words[low + a - 2 : low + a]
+                words[low + a : low + b] = ["" if kind == "text" else TAGGED if tagged else NOTICE] * (b - a)  # look for others in the rest
     return sorted(found, key=lambda f: f[2])
 
 

@@ -25,6 +25,54 @@ NAMES = {
     "CC-BY-NC-ND-4.0": "CC BY-NC-ND 4.0",
 }
 
+# Families of names and the versions that stand behind them, as notices also write them. A name of one
+# word without a digit is looked for in fewer places, since it is a common word elsewhere.
+_GPL = (["GNU General Public License", "GNU GPL", "GPL"], "GPL")
+_LGPL = (["GNU Lesser General Public License", "Lesser General Public License", "GNU LGPL", "LGPL"], "LGPL")
+_AGPL = (["GNU Affero General Public License", "Affero General Public License", "GNU AGPL", "AGPL"], "AGPL")
+_VERSIONED = {
+    "Apache-2.0": (["Apache License", "Apache Software License", "Apache Public License", "Apache"], None, ["2.0", "2"]),
+    "GPL-2.0": (*_GPL, ["2", "2.0"]),
+    "GPL-3.0": (*_GPL, ["3", "3.0"]),
+    "LGPL-2.1": (*_LGPL, ["2.1"]),
+    "LGPL-3.0": (*_LGPL, ["3", "3.0"]),
+    "AGPL-3.0": (*_AGPL, ["3", "3.0"]),
+    "MPL-2.0": (["Mozilla Public License", "MPL"], "MPL", ["2.0", "2"]),
+    "EPL-2.0": (["Eclipse Public License", "EPL"], "EPL", ["2.0", "2"]),
+    "BSL-1.0": (["Boost Software License", "Boost License"], None, ["1.0", "1"]),
+    "Artistic-2.0": (["Artistic License"], None, ["2.0", "2"]),
+}
+_CC = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+_OTHERS = {
+    "MIT": ["MIT", "Expat License", "MIT/Expat License", "MIT/X11 License", "X11/MIT License"],
+    "ISC": ["ISC"],
+    "BSD-2-Clause": ["2-Clause BSD License", "BSD-2-Clause License", "BSD-2-Clause", "BSD 2-Clause", "2-Clause BSD", "BSD 2 Clause", "Simplified BSD License", "FreeBSD License"],
+    "BSD-3-Clause": ["3-Clause BSD License", "BSD-3-Clause License", "BSD-3-Clause", "BSD 3-Clause", "3-Clause BSD", "BSD 3 Clause", "New BSD License", "Modified BSD License", "Revised BSD License"],
+    "CC0-1.0": ["CC0-1.0", "CC0", "CC0 1.0 Universal", "CC0 Version 1.0", "Creative Commons Zero 1.0", "Creative Commons Zero v1.0", "Creative Commons Zero", "Creative Commons CC0 1.0", "Creative Commons CC0"],
+}
+
+
+def _spellings() -> dict[str, list[str]]:
+    out = {name: [raw] for name, raw in NAMES.items()}
+    for name, (families, short, versions) in _VERSIONED.items():
+        for family in families:
+            out[name] += [f"{family} {x}{v}" for v in versions for x in ("version ", "v", "v ", "ver ", "") if " " in family or len(v) > 1 or x or short]
+        for v in versions if short else []:
+            out[name] += [f"{short}v{v}", f"{short}-v{v}", f"{short}{v}", f"{short}-{v}", f"{short}-{v}-only", f"{short}-{v}-or-later"]
+        out[name] += [name, f"{name} License", f"{name}-only", f"{name}-or-later"]
+    for name, others in _OTHERS.items():
+        out[name] += others
+    for name in NAMES:
+        if name.startswith("CC-BY"):
+            parts = name.split("-")[1:-1]
+            short, long = "-".join(parts), [_CC[p] for p in parts]
+            out[name] += [name, f"CC-{short} 4.0", f"CC {short}-4.0", f"CC {' '.join(parts)} 4.0", f"Creative Commons {short} 4.0", f"Creative Commons {'-'.join(long)} 4.0", f"Creative Commons {' '.join(long)} 4.0"]
+            out[name] += [f"{x} International" for x in out[name][1:]]
+    return {name: list(dict.fromkeys(x)) for name, x in out.items()}
+
+
+SPELLINGS = _spellings()
+
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS"'
 _BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
 Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
