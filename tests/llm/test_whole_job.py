@@ -1,6 +1,6 @@
 """Cases that an operator once left out."""
 
-from tidemark.llm import license_scan, license_texts
+from tidemark.llm import license_scan, license_texts, pii
 
 
 def names(text):
@@ -43,3 +43,14 @@ def test_notices_in_other_spellings():
     for name, spellings in license_texts.SPELLINGS.items():
         for s in spellings:
             assert [n for n, _ in names(f"This is licensed under the {s}. And more.")] == [name], s
+
+
+def test_overlapping_spans_are_replaced_whole(spark):
+    cases = {
+        "a 192.168.1.10@host.example b": "a [EMAIL] b", "+15551234567@example.com": "[EMAIL]",  # one start, the longer one later
+        "call +1 555 123 4567@example.com now": "call [EMAIL] now", "call +1 555 123 4567@a.io now": "call [PHONE] now",  # the tail of either
+        "x@y.com, 10.0.0.1 and z@y.com.": "[EMAIL], [IP] and [EMAIL].", "none": "none", "": "",
+    }
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] + [(99, None)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.redact(rows).collect()}
+    assert got == {**dict(enumerate(cases.values())), 99: None}

@@ -216,17 +216,28 @@ def count_of(kind: str) -> Column:
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with every span replaced by its kind in brackets, the other columns as they are."""
+    """The documents with every span replaced by its kind in brackets, the other columns as they are.
+
+    Spans that overlap are replaced as one, from the least start to the greatest end; the longest one names the kind.
+    """
     hidden = {c: f"_{i}_{c}" for i, c in enumerate(docs.columns) if c in ("base_spans", "spans", "key", "_key")}
     found = find(docs.withColumnsRenamed(hidden), text_col)
     text = F.col(text_col)
     by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    begin = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).cast("long").alias("at"))
     part = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
+    number = lambda n: F.lit(n).cast("long")
+    # What is done, up to `at`, and the overlapping spans at hand: start, end, the longest one's length and kind.
+    state = lambda parts, at, start, end, size, kind: F.struct(parts.alias("parts"), at.alias("at"), start.alias("start"), end.alias("end"), size.alias("size"), kind.alias("kind"))
+    begin = state(F.array().cast("array<string>"), number(0), number(0), number(0), number(0), F.lit(None).cast("string"))
+
+    def done(acc: Column) -> Column:
+        return F.when(acc["kind"].isNull(), acc["parts"]).otherwise(F.concat(acc["parts"], F.array(part(acc["at"], acc["start"]), F.concat(F.lit("["), F.upper(acc["kind"]), F.lit("]")))))
 
     def step(acc: Column, s: Column) -> Column:
-        on = F.struct(F.concat(acc["parts"], F.array(part(acc["at"], s["start"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("parts"), s["end"].alias("at"))
-        return F.when(s["start"] >= acc["at"], on).otherwise(acc)
+        size = s["end"] - s["start"]
+        longer = size > acc["size"]
+        more = state(acc["parts"], acc["at"], acc["start"], F.greatest(acc["end"], s["end"]), F.greatest(acc["size"], size), F.when(longer, s["kind"]).otherwise(acc["kind"]))
+        return F.when(s["start"] < acc["end"], more).otherwise(state(done(acc), acc["end"], s["start"], s["end"], size, s["kind"]))
 
-    new = F.aggregate(by_start, begin, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
+    new = F.aggregate(by_start, begin, step, lambda acc: F.concat(F.array_join(done(acc), ""), F.substring(text, (acc["end"] + 1).cast("int"), F.length(text))))
     return found.withColumn(text_col, F.when(F.size("spans") > 0, new).otherwise(text)).drop("spans", "base_spans").withColumnsRenamed({v: k for k, v in hidden.items()}).select(docs.columns)
