@@ -1,6 +1,6 @@
 """Cases that an operator once left out."""
 
-from tidemark.llm import license_scan, license_texts, pii
+from tidemark.llm import decontaminate, license_scan, license_texts, pii
 
 
 def names(text):
@@ -54,3 +54,11 @@ def test_overlapping_spans_are_replaced_whole(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] + [(99, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.redact(rows).collect()}
     assert got == {**dict(enumerate(cases.values())), 99: None}
+
+
+def test_documents_without_an_id_of_their_own_are_cleaned(spark):
+    item = "one two three four five six seven eight"
+    rows = [(None, "so " + item), (None, "nothing here"), (1, item), (1, "another text with the same id"), (2, "free of it"), (3, None)]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _row int")
+    kept = decontaminate.clean(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(r["_row"] for r in kept.collect()) == [1, 3, 4, 5]

@@ -76,5 +76,13 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents in which no item is found, with all their columns; those with a null id stay."""
-    return docs.join(find(docs, items, id_col, text_col, **options).select(id_col).distinct(), id_col, "left_anti").select(docs.columns)
+    """The documents in which no item is found, with all their columns.
+
+    Each row is judged by its own text, whether its id is null or another row has it too; id_col only names the id.
+    """
+    row = "_row"
+    while row in (c.lower() for c in docs.columns):
+        row += "_"
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")  # a number must not change when it is read again
+    found = find(numbered, items, row, text_col, **options).select(row).distinct()
+    return numbered.join(found, row, "left_anti").select(docs.columns)
