@@ -62,11 +62,13 @@ def brute_components(rows):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("crowded,block", [(160, 1024), (4, 1024), (4, 6)])
-def test_jaccard_components(spark, monkeypatch, crowded, block):
+@pytest.mark.parametrize("crowded,block,settled", [(160, 1024, 2048), (4, 1024, 2048), (4, 1024, 3), (4, 6, 3)])
+def test_jaccard_components(spark, monkeypatch, crowded, block, settled):
     monkeypatch.setattr(jaccard_join, "CROWDED", crowded)
     monkeypatch.setattr(jaccard_join, "OFTEN", 3)
     monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "ALL", settled)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", (2, 8))
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(3))
     base = [[word() for _ in range(n)] for n in (60, 60, 200)]
