@@ -24,17 +24,17 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(pii.count_of(k).alias(f"n_{k}") for k in pii.BASE), base.alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
 
 
-def _shingles(name: str, key: str) -> str:
-    """Distinct shingles of five words of a table, as SQL."""
-    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i+4], ' ') AS s
-    FROM (SELECT {key}, w, unnest(range(1, len(w) - 3)) AS i
-          FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {name} WHERE text IS NOT NULL AND {key} IS NOT NULL))"""
+def _shingles(name: str, key: str, k: str) -> str:
+    """Distinct shingles of a table, as SQL; k is the number of words of a shingle, as SQL over the words w."""
+    return f"""SELECT DISTINCT {key}, array_to_string(w[i:i+k-1], ' ') AS s
+    FROM (SELECT {key}, w, k, unnest(range(1, len(w) - k + 2)) AS i
+          FROM (SELECT *, unnest({k}) AS k FROM (SELECT {key}, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM {name} WHERE text IS NOT NULL AND {key} IS NOT NULL)) WHERE k > 0)"""
 
 
 OP9_SQL = f"""
-WITH item AS ({_shingles('benchmark', 'item_id')}),
+WITH item AS ({_shingles('benchmark', 'item_id', '[least(5, len(w))]')}),
      size AS (SELECT item_id, count(*) AS n FROM item GROUP BY item_id),
-     doc AS ({_shingles('documents', 'doc_id')})
+     doc AS ({_shingles('documents', 'doc_id', '[1, 2, 3, 4, 5]')})
 SELECT doc_id, item_id, n AS n_shingles, count(*) AS n_found, round(count(*)::DOUBLE / n, 6) AS containment
 FROM doc JOIN item USING (s) JOIN size USING (item_id)
 GROUP BY doc_id, item_id, n HAVING count(*) >= ceil(0.8 * n - 1e-9)
