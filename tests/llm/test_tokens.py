@@ -58,6 +58,16 @@ def test_token_store(docs):
     # Rows of one id may stand in any order; starts and sums of all must agree.
     assert sorted(map(str, ((g.id, g.n_tokens, g.ids_crc32) for g in got))) == sorted(map(str, ((w[0], *w[2:]) for w in want)))
     assert sorted(g.start for g in got)[0] == 0 and max(g.start + g.n_tokens for g in got) == at
+    flat = [i for r in rows for i in tokenizer.encode(r.text or "", add_special_tokens=False).ids + [2]]
+    assert all(0 <= g.first_id and 0 <= g.middle_id for g in got) and sorted(g.first_id for g in got) == sorted(flat[w[1]] for w in want)
+    asked = docs.sparkSession.createDataFrame([(0,), (at - 1,), (at,), (at // 2,), (None,), (0,)], "place long")
+    by_id = {r.doc_id for r in rows if [x.doc_id for x in rows].count(r.doc_id) > 1}
+    for r in token_store.tokens_at(segments, asked).collect():
+        if r.place is None or r.place >= at:
+            assert r.token is None
+        else:
+            holder = max((g for g in got if g.start <= r.place), key=lambda g: g.start)
+            assert holder.id in by_id or r.token == flat[r.place]
     order = [g.id for g in sorted(got, key=lambda g: g.start)]
     assert order == sorted(order, key=lambda i: (i is not None, i or 0))
 

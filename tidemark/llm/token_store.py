@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ragged, small_batches, stored, text_slices
+from tidemark.llm.common import arrow_map, ragged, small_batches, stored, text_slices
 from tidemark.llm.pieces import SPACE, split_words
 from tidemark.llm.words import WordLists
 
@@ -107,7 +107,7 @@ class Tokens:
         self.begins = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.begins[[i for piece, i in self.tokenizer.get_vocab().items() if piece[0] == "\u0120"]] = True
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words, self.runs, self.marks = (WordLists("token store", f, most) for f, most in ((self._solve, 500_000), (self._solve_runs, 500_000), (self._solve_runs, 50_000)))
+        self.words, self.runs, self.marks = (WordLists("token store", f, most) for f, most in ((self._solve, 48 << 20), (self._solve_runs, 48 << 20), (self._solve_runs, 8 << 20)))
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -242,13 +242,14 @@ def write(docs: DataFrame, tokenizer: str, end: int, id_col: str = "doc_id", tex
         if size:
             yield close()
 
-    return stored(ordered.mapInArrow(run, f"part long, segment long, first long, n_tokens long, ids array<{kind.simpleString()}>, lengths array<long>, codes binary"), "tokens")
+    return stored(arrow_map(ordered, run, f"part long, segment long, first long, n_tokens long, ids array<{kind.simpleString()}>, lengths array<long>, codes binary"), "tokens")
 
 
 def read(segments: DataFrame) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every document, from the file.
+    """(id, start, n_tokens, ids_crc32, first_id, middle_id) of every document, from the file.
 
-    start: ids of all documents before it. The sums of the parts that come before each part are as many as partitions.
+    start: ids of all documents before it. first_id and middle_id stand at a document's first and middle place, and are
+    read by their places alone; a document always has an id, its end. The sums of the parts that come before each part are as many as partitions.
     """
     spark = segments.sparkSession
     totals = segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # a row a partition
@@ -257,7 +258,7 @@ def read(segments: DataFrame) -> DataFrame:
         base.append((part, before))
         before += n
     bases = spark.createDataFrame(base, "part long, base long")
-    small_batches(spark, 16)  # segments are large
+    small_batches(spark)
     kind = segments.schema["ids"].dataType.elementType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,8 +268,36 @@ def read(segments: DataFrame) -> DataFrame:
                 data = unpack(batch.column(4)[k].as_py()).astype("<u4")
                 ends = np.cumsum(n)
                 crc = [zlib.crc32(data[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist())]
+                first, middle = np.split(access(batch.column(4)[k].as_py(), np.r_[ends - n, ends - n + n // 2]), 2)
                 start = batch.column(0)[k].as_py() + batch.column(1)[k].as_py() + ends - n
-                yield pa.RecordBatch.from_arrays([ids, pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([ids, pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(first), pa.array(middle)], ["id", "start", "n_tokens", "ids_crc32", "first_id", "middle_id"])
 
     joined = segments.join(F.broadcast(bases), "part").select("base", "first", "ids", "lengths", "codes")
-    return joined.mapInArrow(run, f"id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long")
+    return arrow_map(joined, run, f"id {kind.simpleString()}, start long, n_tokens long, ids_crc32 long, first_id long, middle_id long")
+
+
+def tokens_at(segments: DataFrame, places: DataFrame, place_col: str = "place") -> DataFrame:
+    """The frame of places with the id that stands at each (`token`), counted over all documents from 0; null beyond the
+    end and for null places. Only the segments that hold a place are read, and in them only the places' own codes."""
+    spark = segments.sparkSession
+    before, spans = 0, []
+    for part, n in segments.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # a row a partition
+        spans.append((part, before, before + n))
+        before += n
+    by_part = F.broadcast(spark.createDataFrame(spans, "part long, low long, high long"))
+    asked = places.select(F.col(place_col).alias("place")).filter("place is not null").distinct()
+    asked = asked.join(by_part, (F.col("place") >= F.col("low")) & (F.col("place") < F.col("high"))).select("part", "place", (F.col("place") - F.col("low")).alias("inside"))
+    # A segment holds at least SEGMENT ids unless it is the last one of its partition or stands before a long document.
+    own = segments.select("part", "segment", "first", (F.col("first") + F.col("n_tokens")).alias("last"))
+    found = asked.join(own, (asked["part"] == own["part"]) & (F.col("inside") >= F.col("first")) & (F.col("inside") < F.col("last"))).select(own["part"], "segment", "place", (F.col("inside") - F.col("first")).alias("at"))
+    wanted = found.groupBy("part", "segment").agg(F.collect_list("place").alias("place"), F.collect_list("at").alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for place, at, codes in zip(*(batch.column(c) for c in ("place", "at", "codes"))):
+                ids = access(codes.as_py(), at.values.to_numpy())
+                yield pa.RecordBatch.from_arrays([place.values, pa.array(ids)], ["place", "token"])
+
+    small_batches(spark)
+    read_ = arrow_map(segments.join(wanted, ["part", "segment"]).select("place", "at", "codes"), run, "place long, token long")
+    return places.join(read_.withColumnRenamed("place", place_col), place_col, "left")
