@@ -68,6 +68,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(spark, "_tidemark_folder", None) or tempfile.mkdtemp(prefix="tidemark-")
         spark._tidemark_folder = folder
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, text_slices, with_fields
+from tidemark.llm.common import arrow_map, small_batches, text_slices, with_fields
 from tidemark.llm.html_pages import LABELLED
 from tidemark.llm.html_tree import Tree
 
@@ -97,7 +97,7 @@ def train(pages: DataFrame | None = None, html_col: str = "html", most: int = TR
                 kind, a, b, value = zip(*own)
                 yield pa.RecordBatch.from_pydict({"kind": kind, "a": a, "b": b, "value": value, "n": pa.array(own.values(), pa.float64())})
 
-        for r in picked.mapInArrow(run, "kind string, a long, b long, value string, n double").groupBy("kind", "a", "b", "value").agg(F.sum("n").alias("n")).collect():
+        for r in arrow_map(picked, run, "kind string, a long, b long, value string, n double").groupBy("kind", "a", "b", "value").agg(F.sum("n").alias("n")).collect():
             sums[r["kind"], r["a"], r["b"], r["value"]] += r["n"]
     turn = {}
     for framed in ("", "framed"):
@@ -174,4 +174,4 @@ def extract(pages: DataFrame, model: dict, html_col: str = "html") -> DataFrame:
             names = [c for k, c in enumerate(batch.schema.names) if k != place]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.string()), pa.array(map(len, found), pa.int64())], [*names, "text", "n_chars"])
 
-    return kept.mapInArrow(run, with_fields(kept.drop(html_col), text="string", n_chars="bigint"))
+    return arrow_map(kept, run, with_fields(kept.drop(html_col), text="string", n_chars="bigint"))

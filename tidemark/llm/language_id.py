@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, text_slices, with_fields
+from tidemark.llm.common import arrow_map, small_batches, text_slices, with_fields
 from tidemark.llm.pieces import SPACE, codes_of, lattice, marginals, parts_of, vocabulary
 from tidemark.llm.words import WordRows
 
@@ -113,7 +113,7 @@ def train(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "
             k = np.flatnonzero(c > 1e-6)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k, pa.int64()), pa.array(c[k])], ["lang", "piece", "n"])
 
-    rows = picked.select(text_col, lang_col).mapInArrow(count, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+    rows = arrow_map(picked.select(text_col, lang_col), count, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
     langs, vocab = sorted(sizes), vocabulary(model)
     counts = np.zeros((vocab.size, len(langs)))
     for k, lang in enumerate(langs):
@@ -164,4 +164,4 @@ def identify(docs: DataFrame, trained: dict, model: str, text_col: str = "text",
             pred = [langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.where(known, posterior, 0.0))], [*batch.schema.names, pred_col, score_col])
 
-    return kept.mapInArrow(run, with_fields(kept, **{pred_col: "string", score_col: "double"}))
+    return arrow_map(kept, run, with_fields(kept, **{pred_col: "string", score_col: "double"}))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, text_slices
+from tidemark.llm.common import arrow_map, small_batches, text_slices
 from tidemark.llm.license_texts import SPELLINGS, TEXTS
 
 #: Words that begin a candidate block, as a pattern for Spark and Python alike.
@@ -250,4 +250,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([ids, pa.array(name, pa.string()), pa.array(sort, pa.string()), *numbers, pa.array([d == 0 for d in differ], pa.bool_())], ["id", "license", "kind", "start", "end", "saved", "n_diff", "exact"])
 
     cued = docs.select(id_col, text_col).filter(F.col(text_col).rlike(CUES))
-    return cued.mapInArrow(run, f"id {kind}, license string, kind string, start long, end long, saved long, n_diff long, exact boolean").withColumnRenamed("id", id_col)
+    return arrow_map(cued, run, f"id {kind}, license string, kind string, start long, end long, saved long, n_diff long, exact boolean").withColumnRenamed("id", id_col)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ragged, small_batches, stored, text_slices, with_fields
+from tidemark.llm.common import arrow_map, ragged, small_batches, stored, text_slices, with_fields
 from tidemark.llm.pieces import SPACE, Vocabulary, best_paths, codes_of, lattice, marked, parts_of, split_words, traced, vocabulary
 from tidemark.llm.words import WordLists
 
@@ -251,7 +251,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             good = own.gives_back(n, ids, texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), lists, pa.array(good)], ["id", "n_chars", "n_tokens", "ids", "decodes"])
 
-    small = rows.filter(size <= giant).mapInArrow(whole, result)
+    small = arrow_map(rows.filter(size <= giant), whole, result)
     large = rows.withColumn("key", F.monotonically_increasing_id()).filter(size > giant)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,9 +276,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             names = ["id", "key", "n_chars", "chunk"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.list_(pa.int32())), pa.array(good, pa.bool_())], [*names, "ids", "decodes"])
 
-    chunks = stored(large.mapInArrow(cut, f"id {kind}, key long, n_chars long, chunk long, block long, part string, inside long, matrix binary"), "chunks")
+    chunks = stored(arrow_map(large, cut, f"id {kind}, key long, n_chars long, chunk long, block long, part string, inside long, matrix binary"), "chunks")
     joined = chunks.drop("matrix", "block").join(_scan(chunks, model), ["key", "chunk"])
-    each = joined.mapInArrow(trace, f"id {kind}, key long, n_chars long, chunk long, ids array<int>, decodes boolean")
+    each = arrow_map(joined, trace, f"id {kind}, key long, n_chars long, chunk long, ids array<int>, decodes boolean")
     back = each.groupBy("key").agg(F.first("id").alias("id"), F.first("n_chars").alias("n_chars"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"), F.min("decodes").alias("decodes"))
     ids = F.flatten(F.col("parts.ids"))
     big = back.select("id", "n_chars", F.size(ids).cast("long").alias("n_tokens"), ids.alias("ids"), "decodes")
@@ -297,4 +297,4 @@ def decode(encoded: DataFrame, model: str, ids_col: str = "ids", text_col: str =
             texts = [own.decode(x or []) for x in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, text_col])
 
-    return kept.mapInArrow(run, with_fields(kept, **{text_col: "string"}))
+    return arrow_map(kept, run, with_fields(kept, **{text_col: "string"}))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import small_batches, text_slices
+from tidemark.llm.common import arrow_map, small_batches, text_slices
 from tidemark.llm.pieces import PairTable, codes_of, marked, split_words, vocabulary
 from tidemark.llm.words import WordRows
 
@@ -146,4 +146,4 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], ["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)
+    return arrow_map(docs.select(id_col, text_col), run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean").withColumnRenamed("id", id_col)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import small_batches, stored
+from tidemark.llm.common import arrow_map, small_batches, stored
 
 #: Vectors and queries of a block, and bits of a component in the approximation.
 BLOCK, QUERIES, BITS = 8192, 1024, 5
@@ -120,7 +120,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
             for dim in list(held):
                 yield close(dim)
 
-        return stored(rows.mapInArrow(pack, "dim long, block long, ids binary, flat binary, wide boolean"), name)
+        return stored(arrow_map(rows, pack, "dim long, block long, ids binary, flat binary, wide boolean"), name)
 
     vector_blocks = blocks(vectors, BLOCK, "vectors")
     query_blocks = blocks(queries, QUERIES, "queries")

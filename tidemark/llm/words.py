@@ -20,6 +20,9 @@ class _Numbers(dict):
         return k
 
 
+#: Bytes that a word's string, number and place in a dictionary take besides its letters.
+OBJECTS = 160
+
 #: What is kept in this worker, by whose it is. A worker serves many stages; only the last owner's words stay.
 _KEPT: dict[str, list[WordRows]] = {}
 
@@ -32,15 +35,16 @@ def _only(owner: str) -> None:
 
 
 class WordRows:
-    """Rows of a table of arrays, by word; begun anew when more than `most` words are held."""
+    """Rows of a table of arrays, by word; begun anew when the words held take more than about `most` bytes."""
 
-    def __init__(self, owner: str, work: Callable[[list[str]], tuple[np.ndarray, ...]], most: int = 300_000):
+    def __init__(self, owner: str, work: Callable[[list[str]], tuple[np.ndarray, ...]], most: int = 32 << 20):
         self.owner, self.work, self.most = owner, work, most
         self.clear()
 
     def clear(self) -> None:
         self.row = _Numbers()
         self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
 
     def rows(self, words: list[str]) -> np.ndarray:
         """The row of each word; words not met before are worked out together."""
@@ -48,11 +52,13 @@ class WordRows:
             _only(self.owner)
         if not any(k is self for k in _KEPT[self.owner]):
             _KEPT[self.owner].append(self)
-        if len(self.row) > self.most:
+        if self.held > self.most:
             self.clear()
         found = np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
         if self.row.new:
-            self.parts.append(self.work(self.row.new))
+            made = self.work(self.row.new)
+            self.parts.append(made)
+            self.held += sum(map(len, self.row.new)) + OBJECTS * len(self.row.new) + sum(x.nbytes for x in made)
             self.row.new = []
         return found
 
