@@ -135,17 +135,20 @@ def _words(model: str, trained: dict) -> WordRows:
     return _KEPT[trained["key"]]
 
 
-def identify(docs: DataFrame, trained: dict, model: str, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+def identify(docs: DataFrame, trained: dict, model: str, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score", fit_col: str | None = None) -> DataFrame:
     """The frame's columns plus lang_pred and score (posterior of that language, 0 to 1).
 
+    fit_col: a column for the mean log probability of a letter in that language (null for `und`), if it is wanted.
+
     `und` with score 0 for null texts and texts without a letter, and for all if no language was learnt. Ties go to
     the first language by name. Rows stay one to one; columns that have the names of the new ones are replaced.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    kept = docs.drop(pred_col, score_col)
+    kept = docs.drop(pred_col, score_col, *([fit_col] if fit_col else []))
     names = kept.columns
     place = names.index(text_col)
+    added = {pred_col: "string", score_col: "double"} | ({fit_col: "double"} if fit_col else {})
     sent = spark.sparkContext.broadcast(trained)  # languages x pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +165,10 @@ def identify(docs: DataFrame, trained: dict, model: str, text_col: str = "text",
             posterior = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
             known = np.array([len(w) > 0 and has_letter(t) for w, t in zip(words, texts)], bool)
             pred = [langs[b] if k else "und" for b, k in zip(best.tolist(), known.tolist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(np.where(known, posterior, 0.0))], [*batch.schema.names, pred_col, score_col])
+            more = [pa.array(pred, pa.string()), pa.array(np.where(known, posterior, 0.0))]
+            if fit_col:
+                letters = np.array([sum(map(len, ws)) for ws in words])
+                more.append(pa.array(totals.max(axis=1) / np.maximum(1, letters), mask=~known))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], schema=pa.schema([*batch.schema, *((n, c.type) for n, c in zip(added, more))]))
 
-    return arrow_map(kept, run, with_fields(kept, **{pred_col: "string", score_col: "double"}))
+    return arrow_map(kept, run, with_fields(kept, **added))
