@@ -16,22 +16,24 @@ from tidemark.llm import decontaminate, jaccard_join, language_id, pii, sentence
 from tidemark.llm.common import shared_folder, table
 
 MODEL = "piece_bpe_32k.model"
+#: Least posterior of a document's language, and least mean log probability of a letter; prose has -2, rarely less than -4.
+SURE, NOISE = 0.5, -6.0
+#: Near-duplicates share this much of their shingles of five words.
+WIDTH, NUM, DEN = 5, 80, 100
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which a language can be recognised; those without text or without a letter go."""
+    """Documents in a language that is recognised. Those go that have no letter, whose best language is no more likely
+    than the others together, or whose letters are as unlikely in it as noise. Null and empty texts go."""
     model = public_tokenizers.path(MODEL)
-    found = language_id.identify(docs, language_id.train(docs, model), model, pred_col="_found", score_col="_how_sure")
-    return found.filter("_found <> 'und'").select(docs.columns)
+    found = language_id.identify(docs, language_id.train(docs, model), model, pred_col="_found", score_col="_how_sure", fit_col="_fit")
+    return found.filter((F.col("_found") != "und") & (F.col("_how_sure") >= SURE) & (F.col("_fit") >= NOISE)).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join: the one with the smallest id.
-
-    Rows without an id stay: nothing can tell which of a component they would be.
-    """
-    first = jaccard_join.join(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    """One document of each component of the n-gram Jaccard join: the one with the smallest id. Documents without words
+    stay; rows that share an id or have none are told apart by their texts."""
+    return jaccard_join.representatives(docs, width=WIDTH, num=NUM, den=DEN)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
