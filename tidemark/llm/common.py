@@ -90,7 +90,7 @@ def with_fields(df: DataFrame, **kinds: str) -> StructType:
     return StructType([*df.schema.fields, *(StructField(k, DataType.fromDDL(v)) for k, v in kinds.items())])
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def text_slices(batches: Iterator[pa.RecordBatch], text: int = 1, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Parts of the batches with about `most` characters of text each, and their texts (null: empty)."""
     for batch in batches:
         texts = [t or "" for t in batch.column(text).to_pylist()]
