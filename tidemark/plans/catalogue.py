@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import brokers, crosses, daily, ladder, ticks
-from tidemark.plans.columns import TABLES
+from tidemark.plans import brokers, columns, crosses, daily, ladder, ticks, wide
 from tidemark.plans.feature import Columns, Feature
 from tidemark.sources.sql import BROKERS, DAILY, TICKS
 from tidemark.sources.tables import inputs
 
 FEATURES: dict[str, Feature] = {f.name: f for part in (daily, ticks, brokers, crosses, ladder) for f in part.FEATURES}
 
+TABLES: tuple[Columns, ...] = columns.TABLES + wide.TABLES
+
 
 def compute(names: list[str], **tables: DataFrame) -> DataFrame:
     """One table of several features by stock and day; a key that any of them has is in it."""

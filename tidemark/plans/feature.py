@@ -58,11 +58,12 @@ class Columns:
     columns: tuple[tuple[str, str], ...]
     source: str
     reads: tuple[str, ...] = field(default=("ticks",))
+    grouped: bool = True  # else the source has a row for each stock and day
 
     def _text(self) -> str:
         named = ", ".join(f"{n} AS ({q})" for n, q in self.queries)
         exprs = ", ".join(f"round(CAST({e} AS DOUBLE), 6) + 0.0 AS {c}" for c, e in self.columns)
-        return f"{named + ' ' if named else ''}SELECT StockId, Date, {exprs} FROM {self.source} GROUP BY StockId, Date"
+        return f"{named + ' ' if named else ''}SELECT StockId, Date, {exprs} FROM {self.source}{' GROUP BY StockId, Date' if self.grouped else ''}"
 
     def __call__(self, **inputs: DataFrame) -> DataFrame:
         spark = inputs[self.reads[0]].sparkSession
@@ -74,7 +75,7 @@ class Columns:
 
 
 def _spark(text: str) -> str:
-    return doubles(text).replace("QUANTILE(", "percentile(").replace("DAYS_ORDER", "OVER (PARTITION BY StockId ORDER BY Date)")
+    return doubles(text).replace(" IGNORE NULLS)", ") IGNORE NULLS").replace("QUANTILE(", "percentile(").replace("DAYS_ORDER", "OVER (PARTITION BY StockId ORDER BY Date)")
 
 
 def _duckdb(text: str) -> str:

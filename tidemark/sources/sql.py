@@ -14,7 +14,7 @@ def doubles(text: str) -> str:
 
 #: Trades of a month are one day's ticks of two stocks. Ties in the order are rows that are equal in all that is used.
 TICKS = doubles("""
-SELECT StockId, Date, sec, p, q, f, broker, mix, p - 1.0 AS bid, p + 1.0 AS ask, 10.0 + (Date / 100 % 80) * 1.0 AS ref,
+SELECT StockId, Date, sec, p, q, f, broker, mix, p - 1.0 - 0.5 * ((sec + q) % 3) AS bid, p + 1.0 + 0.5 * (sec % 4) AS ask, 10.0 + (Date / 100 % 80) * 1.0 AS ref,
        CAST(sum(q) OVER w AS BIGINT) AS total_qty, row_number() OVER w - 1 AS pos
 FROM (SELECT concat('S', l_partkey % 2) AS StockId,
              CAST(year(l_shipdate) * 10000 + month(l_shipdate) * 100 + 1 AS BIGINT) AS Date,
@@ -33,6 +33,10 @@ DAILY = doubles("""
 SELECT StockId, Date, open, high, low, close, volume_k, 9000.0 + 500.0 * (Date % 7) AS shares_out_k,
        CASE WHEN m % 11 = 0 THEN NULL ELSE 1.0 * (m % 60) END AS daytrade_pct, 100.0 * (close - open) / open AS ret_pct,
        volume_k * 1000.0 * (open + close) / 2 AS turnover_value,
+       CASE WHEN m % 6 = 0 THEN NULL ELSE 40.0 + m % 70 END AS short_balance_k, CASE WHEN m % 8 = 0 THEN NULL ELSE 300.0 + m % 200 END AS margin_balance_k,
+       CASE WHEN m % 10 = 0 THEN NULL ELSE 1.0 * (m % 35) END AS lending_short_k, CASE WHEN m % 4 = 0 THEN NULL ELSE m % 90 - 45.0 END AS inst_foreign,
+       CASE WHEN m % 5 = 0 THEN NULL ELSE m % 50 - 25.0 END AS inst_trust, m % 20 - 10.0 AS inst_dealer_self, m % 16 - 8.0 AS inst_dealer_hedge,
+       CASE WHEN m % 7 = 0 THEN NULL ELSE 5000.0 + m END AS holder_lt400_count, CASE WHEN m % 9 = 0 THEN NULL ELSE 1000.0 + 3 * m END AS rev_m1_k, 900.0 + 2 * (m % 300) AS rev_m13_k,
        CASE WHEN m % 3 = 0 THEN NULL ELSE 20.0 + m % 50 END AS holder_gt1000_pct,
        CASE WHEN m % 13 = 0 THEN NULL ELSE 5.0 + m % 30 END AS pe, 1.0 + (m % 40) / 10.0 AS pb, 0.5 + (m % 25) / 10.0 AS ps, (m % 9) * 1.0 AS div_yield
 FROM (SELECT StockId, Date, min_by(p, pos) AS open, max(p) AS high, min(p) AS low, max_by(p, pos) AS close, CAST(sum(q) AS DOUBLE) AS volume_k,
