@@ -53,7 +53,8 @@ def test_keys_are_unique_and_order_does_not_matter(tables):
     assert rows(a.toPandas(), f.name) == rows(b.toPandas(), f.name)
 
 
-def test_stocks_do_not_touch(tables):
+def test_stocks_do_not_touch(spark):
+    tables = inputs(spark, "/root/testdata/sf0.01")  # with more than one stock
     f = catalogue.FEATURES["f_be_frustration_driven_turnover"]
     both = rows(f(**tables).toPandas(), f.name)
     one = [rows(f(daily=tables["daily"].filter(f"StockId = '{s}'")).toPandas(), f.name) for s in ("S0", "S1")]

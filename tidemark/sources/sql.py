@@ -12,11 +12,11 @@ def doubles(text: str) -> str:
     return _DECIMAL.sub(r"\1e0", text)
 
 
-#: Trades of a month are one day's ticks of two stocks. Ties in the order are rows that are equal in all that is used.
+#: A thousand parts are a stock, so that stocks grow in number with the table; a month's trades are one day's ticks. Ties in the order are rows that are equal in all that is used.
 TICKS = doubles("""
 SELECT StockId, Date, sec, p, q, f, broker, mix, p - 1.0 - 0.5 * ((sec + q) % 3) AS bid, p + 1.0 + 0.5 * (sec % 4) AS ask, 10.0 + (Date / 100 % 80) * 1.0 AS ref,
        CAST(sum(q) OVER w AS BIGINT) AS total_qty, row_number() OVER w - 1 AS pos
-FROM (SELECT concat('S', l_partkey % 2) AS StockId,
+FROM (SELECT concat('S', CAST(floor(l_partkey / 1000) AS BIGINT)) AS StockId,
              CAST(year(l_shipdate) * 10000 + month(l_shipdate) * 100 + 1 AS BIGINT) AS Date,
              32400 + (l_orderkey * 31 + l_linenumber * 7919 + l_partkey * 131 + l_suppkey * 17) % 16200 AS sec,
              10.0 + CAST(round(100 * l_extendedprice / l_quantity) AS BIGINT) % 90 AS p,
