@@ -68,6 +68,10 @@ def test_compute_and_errors(spark, tables):
         catalogue.compute(["f_none"], **tables)
     with pytest.raises(ValueError):
         require(tables["daily"], ["no_such_column"])
+    with pytest.raises(ValueError, match="missing columns: close"):
+        catalogue.FEATURES["f_turnover_rate"](daily=tables["daily"].drop("close"))
+    with pytest.raises(ValueError, match="not given: brokers"):
+        catalogue.FEATURES["f_top5_consist"](ticks=tables["ticks"])
     assert catalogue.catalogue(spark).count() == len(catalogue.FEATURES)
 
 

@@ -93,3 +93,61 @@ def rolling_max(x: Column, w: int, m: int | None = None) -> Column:
 
 def rolling_sum(x: Column, w: int, m: int | None = None) -> Column:
     return enough(x, w, w if m is None else m, F.sum(x).over(days(w)))
+
+
+def rolling_min(x: Column, w: int, m: int | None = None) -> Column:
+    return enough(x, w, w if m is None else m, F.min(x).over(days(w)))
+
+
+def rolling_quantile(x: Column, w: int, m: int, q: float) -> Column:
+    """With linear interpolation."""
+    return enough(x, w, m, F.percentile(x, F.lit(q)).over(days(w)))
+
+
+def rolling_skew(x: Column, w: int, m: int) -> Column:
+    """Corrected for bias; null where nothing varies."""
+    n = F.count(x).over(days(w))
+    return enough(x, w, max(m, 3), F.when(F.stddev_samp(x).over(days(w)) > 0, F.skewness(x).over(days(w)) * F.sqrt(n * (n - 1)) / (n - 2)))
+
+
+def rolling_corr(x: Column, other: str, w: int, m: int) -> Column:
+    """With another column that has no nulls where x has none; 0 for fewer than m days or where one does not vary."""
+    y, mean = F.col(other), lambda c: F.avg(c).over(days(w))
+    vx, vy = mean(x * x) - mean(x) * mean(x), mean(y * y) - mean(y) * mean(y)
+    value = F.when((vx > 1e-12) & (vy > 1e-12), (mean(x * y) - mean(x) * mean(y)) / F.sqrt(vx * vy))
+    return F.coalesce(enough(x, w, m, value), F.lit(0.0))
+
+
+def rolling_slope(x: Column, w: int) -> Column:
+    """Of a line through the last w days; null if any of them is."""
+    middle = (w - 1) / 2
+    total = sum((k - middle) ** 2 for k in range(w))
+    out = x * (middle / total)
+    for j in range(1, w):
+        out = out + shift(x, j) * ((w - 1 - j - middle) / total)
+    return out
+
+
+def zscore_transform(x: Column, w: int = 20) -> Column:
+    """The z-score of whole windows, 0 where there is none, within -3 and 3."""
+    return clipped(filled(enough(x, w, w, (x - F.avg(x).over(days(w))) / F.nullif(F.stddev_samp(x).over(days(w)), F.lit(0.0)))), -3.0, 3.0)
+
+
+def zscore_population(x: Column, w: int, m: int, eps: float = 1e-9) -> Column:
+    """The z-score by the population's deviation."""
+    return enough(x, w, m, (x - F.avg(x).over(days(w))) / (F.stddev_pop(x).over(days(w)) + eps))
+
+
+def mad_zscore(x: Column, median: str, w: int, m: int, eps: float = 1e-8) -> Column:
+    """The distance from the median of the window (a column) over the median distance from it."""
+    held = F.array_sort(F.transform(F.collect_list(x).over(days(w)), lambda v: F.abs(v - F.col(median))))
+    n = F.size(held)
+    middle = (F.get(held, F.floor((n - 1) / 2).cast("int")) + F.get(held, F.floor(n / 2).cast("int"))) / 2
+    return F.when(n >= m, (x - F.col(median)) / (middle + eps))
+
+
+def rank_by_date(x: Column) -> Column:
+    """The share of the date's stocks at or below this one; equal values have their mean rank. A date is one group: as many rows as stocks."""
+    of_date = Window.partitionBy("Date")
+    same = F.count("*").over(Window.partitionBy("Date", x))
+    return F.when(x.isNotNull(), (F.rank().over(of_date.orderBy(x.asc_nulls_last())) + (same - 1) / 2) / F.count(x).over(of_date))

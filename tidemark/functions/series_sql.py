@@ -69,3 +69,48 @@ def rolling_max(x: str, w: int, m: int | None = None) -> str:
 
 def rolling_sum(x: str, w: int, m: int | None = None) -> str:
     return f"CASE WHEN count({x}) {days(w)} >= {w if m is None else m} THEN sum({x}) {days(w)} END"
+
+
+def rolling_min(x: str, w: int, m: int | None = None) -> str:
+    return f"CASE WHEN count({x}) {days(w)} >= {w if m is None else m} THEN min({x}) {days(w)} END"
+
+
+def rolling_quantile(x: str, w: int, m: int, q: float) -> str:
+    return f"CASE WHEN count({x}) {days(w)} >= {m} THEN quantile_cont({x}, {q!r}) {days(w)} END"
+
+
+def rolling_skew(x: str, w: int, m: int) -> str:
+    """By sums of powers over the window."""
+    s = lambda k: f"(sum({' * '.join([x] * k)}) {days(w)})"
+    n = f"(count({x}) {days(w)} * 1.0)"
+    m2 = f"({s(2)} / {n} - power({s(1)} / {n}, 2))"
+    m3 = f"({s(3)} / {n} - 3 * {s(1)} / {n} * {s(2)} / {n} + 2 * power({s(1)} / {n}, 3))"
+    return f"CASE WHEN {n} >= {max(m, 3)} AND stddev_samp({x}) {days(w)} > 0 THEN {m3} / power({m2}, 1.5) * sqrt({n} * ({n} - 1)) / ({n} - 2) END"
+
+
+def rolling_corr(x: str, other: str, w: int, m: int) -> str:
+    mean = lambda c: f"avg({c}) {days(w)}"
+    vx, vy = (f"({mean(f'{c} * {c}')} - {mean(c)} * {mean(c)})" for c in (x, other))
+    return f"coalesce(CASE WHEN count({x}) {days(w)} >= {m} AND {vx} > 1e-12 AND {vy} > 1e-12 THEN ({mean(f'{x} * {other}')} - {mean(x)} * {mean(other)}) / sqrt({vx} * {vy}) END, 0.0)"
+
+
+def rolling_slope(x: str, w: int) -> str:
+    """By the regression function of the engine over whole windows."""
+    return f"CASE WHEN count({x}) {days(w)} = {w} THEN regr_slope({x}, age) {days(w)} END"
+
+
+def zscore_transform(x: str, w: int = 20) -> str:
+    return clipped(f"coalesce(CASE WHEN count({x}) {days(w)} >= {w} THEN ({x} - avg({x}) {days(w)}) / nullif(stddev_samp({x}) {days(w)}, 0) END, 0.0)", -3.0, 3.0)
+
+
+def zscore_population(x: str, w: int, m: int, eps: float = 1e-9) -> str:
+    return f"CASE WHEN count({x}) {days(w)} >= {m} THEN ({x} - avg({x}) {days(w)}) / (stddev_pop({x}) {days(w)} + {eps:.12f}) END"
+
+
+def mad_zscore(x: str, median: str, w: int, m: int, eps: float = 1e-8) -> str:
+    held = f"list_transform(list_filter(list({x}) {days(w)}, lambda v: v IS NOT NULL), lambda v: abs(v - {median}))"
+    return f"CASE WHEN count({x}) {days(w)} >= {m} THEN ({x} - {median}) / (list_aggregate({held}, 'median') + {eps:.12f}) END"
+
+
+def rank_by_date(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY Date ORDER BY {x} NULLS LAST) + (count(*) OVER (PARTITION BY Date, {x}) - 1) / 2.0) / count({x}) OVER (PARTITION BY Date) END"

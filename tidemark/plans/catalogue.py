@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import brokers, columns, crosses, daily, ladder, paths, ticks, wide
+from tidemark.plans import brokers, columns, crosses, daily, ladder, paths, ticks, transforms, wide
 from tidemark.plans.feature import Columns, Feature
 from tidemark.sources.sql import BROKERS, DAILY, TICKS
 from tidemark.sources.tables import inputs
 
-FEATURES: dict[str, Feature] = {f.name: f for part in (daily, ticks, brokers, crosses, ladder) for f in part.FEATURES}
+FEATURES: dict[str, Feature] = {f.name: f for part in (daily, ticks, brokers, crosses, ladder, transforms) for f in part.FEATURES}
 
 TABLES: tuple[Columns, ...] = columns.TABLES + wide.TABLES + paths.TABLES
 

@@ -12,9 +12,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import series, series_sql
+from tidemark.sources.required import REQUIRED, require
 from tidemark.sources.sql import doubles
 
 
+def read(what: Feature | Columns, inputs: dict[str, DataFrame]) -> None:
+    """Name what a call lacks: tables, and the keys that every table must have."""
+    if lacking := [k for k in what.reads if k not in inputs]:
+        raise ValueError(f"{what.name} reads tables that are not given: {', '.join(lacking)}")
+    for k in what.reads:
+        require(inputs[k], REQUIRED[k])
+
+
 @dataclass(frozen=True)
 class Feature:
     """name; what it reads (ticks, daily, brokers); named queries that follow each other, the last one by stock and
@@ -28,6 +37,7 @@ class Feature:
     reads: tuple[str, ...] = field(default=("ticks",))
 
     def __call__(self, **inputs: DataFrame) -> DataFrame:
+        read(self, inputs)
         spark = inputs[self.reads[0]].sparkSession
         named = ", ".join(f"{n} AS ({q})" for n, q in self.queries)
         df = spark.sql(_spark(f"WITH {named} SELECT * FROM {self.queries[-1][0]}"), **{k: inputs[k] for k in self.reads})
@@ -66,6 +76,7 @@ class Columns:
         return f"{named + ' ' if named else ''}SELECT StockId, Date, {exprs} FROM {self.source}{' GROUP BY StockId, Date' if self.grouped else ''}"
 
     def __call__(self, **inputs: DataFrame) -> DataFrame:
+        read(self, inputs)
         spark = inputs[self.reads[0]].sparkSession
         return spark.sql(_spark("WITH " + self._text()), **{k: inputs[k] for k in self.reads})
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.required import missing, require  # noqa: F401
 from tidemark.sources.sql import BROKERS, DAILY, TICKS
 
 
@@ -31,17 +32,6 @@ def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"ticks": ticks, "daily": spark.sql(DAILY, ticks=ticks), "brokers": spark.sql(BROKERS, ticks=ticks)}
 
 
-def missing(df: DataFrame, columns: list[str]) -> list[str]:
-    """The required columns that a table lacks."""
-    return [c for c in columns if c not in df.columns]
-
-
-def require(df: DataFrame, columns: list[str]) -> DataFrame:
-    if lacking := missing(df, columns):
-        raise ValueError(f"missing columns: {', '.join(lacking)}")
-    return df
-
-
 def repeated_keys(df: DataFrame) -> DataFrame:
     """Keys (StockId, Date) that stand in more than one row; a result must have none."""
     return df.groupBy("StockId", "Date").count().filter("count > 1")
