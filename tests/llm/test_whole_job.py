@@ -62,3 +62,27 @@ def test_documents_without_an_id_of_their_own_are_cleaned(spark):
     docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, _row int")
     kept = decontaminate.clean(docs, spark.createDataFrame([(7, item)], "item_id long, text string"))
     assert kept.columns == docs.columns and sorted(r["_row"] for r in kept.collect()) == [1, 3, 4, 5]
+
+
+def test_many_spans_in_one_document(spark):
+    """Thousands of spans in one text, added ones among base ones, and none that overlaps a base span."""
+    text = "".join(f"call me at (212) 555-{i:04d} or mail a{i}@b.org, " for i in range(1500))
+    docs = spark.createDataFrame([(1, text, 5), (2, None, 6), (3, "", 7)], "key long, text string, _key int")
+    got = {r.key: r for r in pii.find(docs).collect()}
+    base = [(s.start, s.end) for s in got[1].base_spans]
+    added = [(s.start, s.end) for s in got[1].spans if s.kind not in pii.BASE]
+    assert len(base) == 1500 and added and not any(b[0] < a[1] and a[0] < b[1] for a, b in zip(added, base)) and got[2].spans == got[3].spans == []
+    clean = {r.key: (r.text, r["_key"]) for r in pii.redact(docs).collect()}
+    assert clean[1][0].count("[EMAIL]") == 1500 and clean[1][0].count("[TEL]") == len(added) and "@" not in clean[1][0] and clean[2] == (None, 6) and clean[3] == ("", 7)
+
+
+def test_reliabilities_part_good_labelers_from_bad_ones():
+    """Expectation-maximisation on counts drawn from known reliabilities."""
+    truth = {("tel", *votes): 0.0 for votes in [(a, b, c, d) for a in (-1, 1) for b in (-1, 1) for c in (-1, 0, 1) for d in (-1, 1)]}
+    for real, share in ((1, 0.4), (-1, 0.6)):
+        for k in truth:
+            good = [0.9 if v == real else 0.1 for v in (k[1], k[2], k[4])]
+            truth[k] += 1000 * share * good[0] * good[1] * good[2] * (0.6 if k[3] == 0 else 0.3 if k[3] == real else 0.1)
+    table, post = pii.reliabilities(truth)
+    assert post["tel", 1, 1, 1, 1] > 0.95 and post["tel", -1, -1, -1, -1] < 0.05
+    assert all(abs(table[j][1, 1] - 0.9) < 0.1 and abs(table[j][1, 0] - 0.1) < 0.1 for j in (0, 1, 3))

@@ -182,27 +182,48 @@ def classifier(found: DataFrame) -> DataFrame:
     return found.sparkSession.createDataFrame(out, ", ".join(f"`{c}` {kinds[c]}" for c in LOOKS) + ", p double")
 
 
+def _free(names: list[str], wanted: str) -> str:
+    """A column name that no column has."""
+    while wanted.lower() in (n.lower() for n in names):
+        wanted += "_"
+    return wanted
+
+
+def _judged(docs: DataFrame, text_col: str, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The documents that hold no candidate; the others with a number; and the spans that stay: (key, k, start, end, kind, base).
+
+    Added spans that overlap base ones go: that is told from the furthest end of the base spans that begin at or before
+    the span and from the next base span after it, so a document's work grows with its spans, not with their pairs.
+    """
+    maybe = F.coalesce(F.col(text_col).rlike(ANY), F.lit(False))
+    # Documents that hold no candidate go past the shuffles. The others keep a number by their place in the scan.
+    numbered = stored(docs.filter(maybe).withColumn(key, F.monotonically_increasing_id()), "pii-documents")
+    found = stored(candidates(numbered, key, text_col), "pii-candidates")
+    judged = found.join(F.broadcast(classifier(found)), LOOKS, "left").filter(F.col("base") | (~F.col("kind").isin(BASE) & (F.col("p") >= 0.5)))
+    up = Window.partitionBy("key").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("key").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    reached = F.coalesce(F.max(F.when(F.col("base"), F.col("end"))).over(up) > F.col("start"), F.lit(False))
+    follows = F.coalesce(F.min(F.when(F.col("base"), F.col("start"))).over(down) < F.col("end"), F.lit(False))
+    place = F.coalesce(*(F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS)))
+    rows = judged.select("key", place.alias("k"), "start", "end", "kind", "base", (reached | follows).alias("over"))
+    return docs.filter(~maybe), numbered, rows.filter(F.col("base") | ~F.col("over")).drop("over")
+
+
 def find(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The frame's columns plus base_spans and spans: arrays of struct<k, start, end, kind> by k, then start.
 
     k is the place of the kind in KINDS; start and end are code points, end exclusive. Null and empty texts have no
     spans; rows stay one to one, repeated ones included; columns named base_spans or spans are replaced. Added spans
-    never overlap base spans.
+    never overlap base spans. Texts are searched whole, and a document may have any number of spans.
     """
     kept = docs.drop("base_spans", "spans")
+    key = _free([*kept.columns, "key"], "_key")
     empty = F.array().cast("array<struct<k:int,start:bigint,end:bigint,kind:string>>")
-    maybe = F.coalesce(F.col(text_col).rlike(ANY), F.lit(False))
-    # Documents that hold no candidate go past the shuffles. The others keep a number by their place in the scan.
-    rest = kept.filter(~maybe).select("*", empty.alias("base_spans"), empty.alias("spans"))
-    numbered = stored(kept.filter(maybe).withColumn("_key", F.monotonically_increasing_id()), "pii-documents")
-    found = stored(candidates(numbered, "_key", text_col), "pii-candidates")
-    judged = found.join(F.broadcast(classifier(found)), LOOKS, "left").filter(F.col("base") | (~F.col("kind").isin(BASE) & (F.col("p") >= 0.5)))
-    span = F.struct(F.coalesce(*(F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS))).alias("k"), F.col("start"), F.col("end"), F.col("kind"))
-    by_doc = judged.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("base_spans"), F.collect_list(F.when(~F.col("base"), span)).alias("more"))
-    free = F.filter("more", lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    by_doc = by_doc.select("key", "base_spans", F.array_sort(F.concat("base_spans", free)).alias("spans"))
-    hit = numbered.join(by_doc, numbered["_key"] == by_doc["key"], "left").drop("_key", "key")
-    return rest.unionByName(hit.withColumns({c: F.coalesce(F.col(c), empty) for c in ("base_spans", "spans")}))
+    none, numbered, rows = _judged(kept, text_col, key)
+    span = F.struct("k", "start", "end", "kind")
+    by_doc = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("base_spans"), F.array_sort(F.collect_list(span)).alias("spans"))
+    hit = numbered.join(by_doc.withColumnRenamed("key", key), key, "left").select(*kept.columns, *(F.coalesce(F.col(c), empty).alias(c) for c in ("base_spans", "spans")))
+    return none.select("*", empty.alias("base_spans"), empty.alias("spans")).unionByName(hit)
 
 
 def joined(spans: Column) -> Column:
@@ -219,25 +240,26 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in brackets, the other columns as they are.
 
     Spans that overlap are replaced as one, from the least start to the greatest end; the longest one names the kind.
+    Null and empty texts stay as they are; rows stay one to one, whatever their columns are called.
     """
-    hidden = {c: f"_{i}_{c}" for i, c in enumerate(docs.columns) if c in ("base_spans", "spans", "key", "_key")}
-    found = find(docs.withColumnsRenamed(hidden), text_col)
-    text = F.col(text_col)
-    by_start = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    part = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
-    number = lambda n: F.lit(n).cast("long")
-    # What is done, up to `at`, and the overlapping spans at hand: start, end, the longest one's length and kind.
-    state = lambda parts, at, start, end, size, kind: F.struct(parts.alias("parts"), at.alias("at"), start.alias("start"), end.alias("end"), size.alias("size"), kind.alias("kind"))
-    begin = state(F.array().cast("array<string>"), number(0), number(0), number(0), number(0), F.lit(None).cast("string"))
-
-    def done(acc: Column) -> Column:
-        return F.when(acc["kind"].isNull(), acc["parts"]).otherwise(F.concat(acc["parts"], F.array(part(acc["at"], acc["start"]), F.concat(F.lit("["), F.upper(acc["kind"]), F.lit("]")))))
-
-    def step(acc: Column, s: Column) -> Column:
-        size = s["end"] - s["start"]
-        longer = size > acc["size"]
-        more = state(acc["parts"], acc["at"], acc["start"], F.greatest(acc["end"], s["end"]), F.greatest(acc["size"], size), F.when(longer, s["kind"]).otherwise(acc["kind"]))
-        return F.when(s["start"] < acc["end"], more).otherwise(state(done(acc), acc["end"], s["start"], s["end"], size, s["kind"]))
-
-    new = F.aggregate(by_start, begin, step, lambda acc: F.concat(F.array_join(done(acc), ""), F.substring(text, (acc["end"] + 1).cast("int"), F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("spans") > 0, new).otherwise(text)).drop("spans", "base_spans").withColumnsRenamed({v: k for k, v in hidden.items()}).select(docs.columns)
+    key = _free([*docs.columns, "key"], "_key")
+    pieces = _free([*docs.columns, key], "_pieces")
+    none, numbered, rows = _judged(docs, text_col, key)
+    order = Window.partitionBy("key").orderBy("start", "end", "k")
+    reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    first = F.when(F.col("start") < reached, 0).otherwise(1)  # null: nothing stands before
+    islands = rows.withColumn("first", first).withColumn("island", F.sum("first").over(order))
+    longest = F.max(F.struct((F.col("end") - F.col("start")).alias("size"), (-F.col("start")).alias("early"), (-F.col("k")).alias("place"), "kind"))["kind"]
+    whole = islands.groupBy("key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), longest.alias("kind"))
+    by_doc = whole.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias(pieces)).withColumnRenamed("key", key)
+    text, parts = F.col(text_col), F.col(pieces)
+
+    def piece(span: Column, i: Column) -> Column:
+        """The text between the span before and this one, and this one's kind."""
+        at = F.coalesce(F.get(parts, i - 1)["end"], F.lit(0).cast("long"))
+        return F.concat(F.substring(text, (at + 1).cast("int"), (span["start"] - at).cast("int")), F.lit("["), F.upper(span["kind"]), F.lit("]"))
+
+    rest = F.substring(text, (F.get(parts, F.size(parts) - 1)["end"] + 1).cast("int"), F.length(text))
+    new = F.when(parts.isNull(), text).otherwise(F.concat(F.array_join(F.transform(parts, piece), ""), rest))
+    hit = numbered.join(by_doc, key, "left").withColumn(text_col, new).select(docs.columns)
+    return none.unionByName(hit)
