@@ -114,6 +114,36 @@ def test_sentencepiece_chunks_and_round_trip(docs):
     assert sorted(r.text for r in back) == sorted((r.text or "").replace("▁", " ") for r in docs.select("text").collect())
 
 
+def test_sentencepiece_ids_are_the_librarys(docs):
+    """Whole documents, and documents in chunks whose borders fall anywhere."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    want = sorted((str(r.doc_id), sp.encode(r.text or "")) for r in docs.collect())
+    for given in ({}, {"giant": 50, "chunk": 40}):
+        got = sentencepiece_scan.encode(docs, MODEL, **given).collect()
+        assert sorted((str(r.doc_id), list(r.ids)) for r in got) == want
+        assert all(r.n_tokens == len(r.ids) for r in got)
+
+
+def test_sentencepiece_giant_documents(spark):
+    """Texts over the size for chunks, with and without spaces, and over more chunks than a block of the scan holds."""
+    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(6)
+    letters = "".join(rng.choice("aeinorst") for _ in range(40_000))
+    words = " ".join(rng.choice(["the", "committee", "published", "figures", "é漢", "\n"]) for _ in range(120_000))
+    given = [letters, "a" * 33_000, "\n " * 20_000, " " * 33_000, words]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r.doc_id: r for r in sentencepiece_scan.encode(docs, MODEL).collect()}
+    assert all(list(got[k].ids) == sp.encode(t) and got[k].decodes for k, t in enumerate(given))
+
+
+def test_sentencepiece_unigram_rule_in_chunks(docs):
+    """A unigram model's rule: whole and cut documents have paths of one score, that of the library's unigram mode or better."""
+    own = sentencepiece_scan.coder(MODEL)
+    score = lambda rows: sorted((str(r.doc_id), round(float(own.score[list(r.ids)].sum()), 3)) for r in rows)
+    whole, cut = (sentencepiece_scan.encode(docs, MODEL, rule="unigram", **g).collect() for g in ({}, {"giant": 50, "chunk": 40}))
+    assert score(whole) == score(cut) and all(r.decodes for r in whole + cut)
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     trained = language_id.train(docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1"), MODEL)

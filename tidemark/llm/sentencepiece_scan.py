@@ -1,12 +1,12 @@
 """SentencePiece encoding and decoding by a max-plus parallel scan (operator 7).
 
-A segmentation is the path of the highest sum of piece scores (the unigram rule, with the pieces and scores of a
-public model; byte fallback for characters in no piece). Sums are exact: a path is never worse than
-the one that the library's unigram mode gives with the same pieces and scores. Pieces never span a space, so words are independent and each
-distinct one is solved once. Giant documents are cut into chunks of fixed length wherever that falls: a chunk yields
-the max-plus matrix from "so many characters are already covered" to "so many characters of the next chunk are
-covered", the matrices of a document are combined associatively in blocks, and each chunk is then traced back by
-itself from the states at its two ends.
+A segmentation is the best path through the pieces of a text: for a BPE model the one path whose neighbours fit
+(`merge_rule`: value 0, all others minus infinity), so that the ids are those of the library; for a unigram model the
+path of the highest sum of piece scores (`unigram_rule`). Characters in no piece become bytes. Pieces never span a
+space, so words are independent and each distinct one is solved once. Giant documents are cut into chunks of fixed
+length wherever that falls: a chunk yields the max-plus matrix from the states at its start to those at its end, the
+matrices of a document are combined associatively in blocks, and each chunk is then traced back by itself from the
+states at its two ends.
 """
 
 from __future__ import annotations
@@ -20,205 +20,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, ragged, small_batches, stored, text_slices, with_fields
-from tidemark.llm.pieces import SPACE, Vocabulary, best_paths, codes_of, lattice, marked, parts_of, split_words, traced, vocabulary
-from tidemark.llm.words import WordLists
+from tidemark.llm.common import arrow_map, small_batches, stored, text_slices, with_fields
+from tidemark.llm.merge_rule import Chains, MergeCoder
+from tidemark.llm.pieces import SPACE, vocabulary
+from tidemark.llm.unigram_rule import Coder, Sums
 
 #: Documents of more characters are cut into chunks of so many; so many chunks make a block of the scan.
 GIANT, CHUNK, BLOCK = 32_768, 8192, 64
 
 
-class Coder:
-    """Encodes words and parts of words with one model; keeps the distinct words."""
-
-    def __init__(self, path: str):
-        self.vocab = v = vocabulary(path)
-        self.words = WordLists("sentencepiece", lambda words: self.solve([marked(w) for w in words]))
-        #: What each id stands for in a text.
-        self.bytes = [b""] * v.size
-        for p, i in v.ids.items():
-            self.bytes[i] = p.encode("utf-8", "surrogatepass")
-        for b, i in enumerate(v.byte_ids.tolist()):
-            if i >= 0:
-                self.bytes[i] = bytes([b])
-        self.byte_len = np.fromiter(map(len, self.bytes), np.int64, v.size)
-        self.byte_at = np.cumsum(self.byte_len) - self.byte_len
-        self.byte_flat = np.frombuffer(b"".join(self.bytes), np.uint8)
-        self.score = v.scores
-
-    def solve(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the best paths of strings: how many each, and the ids end to end."""
-        flat, lengths = codes_of(words)
-        starts, found = np.cumsum(lengths) - lengths, []
-        for part in parts_of(lengths, 60_000):
-            n = lengths[part]
-            own = flat[ragged(starts[part], n)]
-            piece_at = self.vocab.pieces_at(own, n)
-            pieces, sizes = best_paths(self.vocab, n, lattice(self.vocab, piece_at, self.vocab.scores, self.vocab.unknown))
-            found.append((part, *self.ids(own, n, piece_at, pieces, sizes)))
-        counts = np.zeros(len(words), np.int64)
-        for part, k, _ in found:
-            counts[part] = k
-        at, ids = np.cumsum(counts) - counts, np.zeros(int(counts.sum()), np.int64)
-        for part, k, own in found:
-            ids[ragged(at[part], k)] = own
-        return counts, ids
-
-    def ids(self, flat: np.ndarray, lengths: np.ndarray, piece_at: np.ndarray, pieces: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of paths given as lengths of pieces; unknown characters give the ids of their bytes."""
-        starts = np.cumsum(lengths) - lengths
-        ends = np.cumsum(sizes)
-        string = np.repeat(np.arange(len(lengths)), pieces)
-        used = np.r_[0, ends][np.r_[0, np.cumsum(pieces)[:-1]]] if len(pieces) else ends
-        at = starts[string] + (ends - sizes) - used[string]
-        ids = piece_at[sizes - 1, at].astype(np.int64)
-        if (ids >= 0).all():
-            return pieces, ids
-        count, lists = np.ones(len(ids), np.int64), {}
-        for k in np.flatnonzero(ids < 0).tolist():
-            lists[k] = self.vocab.byte_ids[list(chr(flat[at[k]]).encode("utf-8", "surrogatepass"))]
-            count[k] = len(lists[k])
-        where, out = np.cumsum(count) - count, np.zeros(int(count.sum()), np.int64)
-        out[where[ids >= 0]] = ids[ids >= 0]
-        for k, own in lists.items():
-            out[where[k] : where[k] + len(own)] = own
-        return np.bincount(string, weights=count, minlength=len(pieces)).astype(np.int64), out
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        words = [split_words(t) for t in texts]
-        n, starts, flat = self.words.gather([w for ws in words for w in ws])
-        sums = np.r_[0, np.cumsum(n)]
-        ends = np.cumsum([len(ws) for ws in words])
-        return sums[ends] - sums[np.r_[0, ends[:-1]]], flat[ragged(starts, n)]
-
-    def raw(self, ids: np.ndarray) -> np.ndarray:
-        """The UTF-8 bytes of the ids end to end, marks for spaces."""
-        return self.byte_flat[ragged(self.byte_at[ids], self.byte_len[ids])]
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of some ids; the marker before the text goes, and bytes that are no UTF-8 give U+FFFD."""
-        text = self.raw(np.asarray(ids, np.int64)).tobytes().decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text[:1] == " " else text
-
-    def gives_back(self, n: np.ndarray, ids: np.ndarray, texts: list[str]) -> np.ndarray:
-        """Whether the ids of each text (n of them each) decode to it."""
-        sizes = np.r_[0, np.cumsum(self.byte_len[ids])]
-        ends = np.cumsum(n)
-        own = sizes[ends] - sizes[ends - n]
-        want = [(SPACE + t).replace(" ", SPACE).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
-        size = np.fromiter(map(len, want), np.int64, len(want))
-        good = own == size
-        if not good.all():
-            return np.array([self.raw(ids[b - k : b]).tobytes() == w for b, k, w in zip(ends.tolist(), n.tolist(), want)], bool)
-        wrong = np.r_[0, np.cumsum(self.raw(ids) != np.frombuffer(b"".join(want), np.uint8))]
-        at = np.cumsum(size)
-        return wrong[at] == wrong[at - size]
-
-    # --- chunks: `chunk` holds its own characters and, after them, up to longest - 1 of the next chunk ---
-
-    def _paths(self, flat: np.ndarray, entries: np.ndarray, inside: int) -> tuple[np.ndarray, np.ndarray]:
-        """best[t, entry] of reaching t from each entry by pieces that start before `inside`, and the last piece's length."""
-        edge = lattice(self.vocab, self.vocab.pieces_at(flat, np.array([len(flat)])), self.vocab.scores, self.vocab.unknown)
-        best = np.full((len(flat) + 1, len(entries)), -np.inf)
-        took = np.zeros((len(flat) + 1, len(entries)), np.int8)
-        best[entries[entries <= len(flat)], np.flatnonzero(entries <= len(flat))] = 0
-        for t in range(1, len(flat) + 1):
-            for k in range(min(t, self.vocab.longest), max(1, t - inside + 1) - 1, -1):
-                if edge[k - 1, t - k] > -np.inf:
-                    other = best[t - k] + edge[k - 1, t - k]
-                    better = other > best[t]
-                    best[t, better], took[t, better] = other[better], k
-        return best, took
-
-    def _cut(self, chunk: str, inside: int) -> tuple[int, int]:
-        """First and last place inside the chunk where a path must stop: before a mark that follows something else."""
-        places = [i for i in (chunk.find(SPACE, 1), chunk.rfind(SPACE, 1, inside)) if 0 < i < inside]
-        if not places:
-            return -1, -1
-        first, last = places[0], places[-1]
-        while first < inside and chunk[first - 1] == SPACE:
-            first = chunk.find(SPACE, first + 1) if 0 < chunk.find(SPACE, first + 1) < inside else inside
-        while last > 0 and chunk[last - 1] == SPACE:
-            last -= 1
-        return (first, last) if 0 < first <= last < inside else (-1, -1)
-
-    def matrix(self, chunk: str, inside: int) -> np.ndarray:
-        """[covered at the start, covered beyond the end]: the best score of the pieces that start in the chunk."""
-        n = self.vocab.longest
-        flat = codes_of([chunk])[0]
-        entries = np.arange(n)
-        first, last = self._cut(chunk, inside)
-        out = np.full((n, n), -np.inf)
-        if first < 0:
-            best = self._paths(flat, entries, inside)[0][inside:]
-            out[:, : len(best)] = best.T[:, :n]
-            return out
-        head = self._paths(flat[:first], entries, first)[0][first]
-        tail = self._paths(flat[last:], np.zeros(1, np.int64), inside - last)[0][inside - last :, 0]
-        _, ids = self._middle(chunk, first, last)
-        out[:, : len(tail)] = (head + self.score[ids].sum())[:, None] + tail[None, :n]
-        return out
-
-    def _middle(self, chunk: str, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.encode([chunk[first + 1 : last]]) if last > first else (np.zeros(1, np.int64), np.zeros(0, np.int64))
-
-    def trace(self, chunk: str, inside: int, entry: int, leave: int) -> np.ndarray:
-        """Ids of the pieces that start in the chunk, on the best path between the given states."""
-        flat = codes_of([chunk])[0]
-        first, last = self._cut(chunk, inside)
-
-        def part(own: np.ndarray, begin: int, end: int, within: int) -> np.ndarray:
-            _, took = self._paths(own, np.array([begin]), within)
-            k, sizes = traced(took, np.array([end]), np.array([begin]))
-            own, n = own[begin:end], np.array([end - begin])
-            return self.ids(own, n, self.vocab.pieces_at(own, n), k, sizes)[1]
-
-        if first < 0:
-            return part(flat, entry, inside + leave, inside)
-        return np.r_[part(flat[:first], entry, first, first), self._middle(chunk, first, last)[1], part(flat[last:], 0, inside - last + leave, inside - last)]
-
-
 @lru_cache(maxsize=2)
 def coder(path: str) -> Coder:
+    """The unigram rule with a model's pieces and scores."""
     return Coder(path)
 
 
-def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+@lru_cache(maxsize=2)
+def merge_coder(path: str) -> MergeCoder:
+    """The merge rule with a model's pieces and ranks."""
+    return MergeCoder(path)
 
 
-def states(matrices: list[np.ndarray], entry: int, leave: int) -> list[int]:
-    """The states at all borders of a row of matrices on the best path from `entry` to `leave`."""
-    value = np.full(len(matrices[0]), -np.inf)
-    value[entry] = 0
-    forward = [value]
-    for m in matrices:
-        forward.append((forward[-1][:, None] + m).max(axis=0))
-    out = [leave]
-    for v, m in zip(reversed(forward[:-1]), reversed(matrices)):
-        out.append(int((v + m[:, out[-1]]).argmax()))
-    return out[::-1]
+def rule_of(path: str) -> str:
+    """`bpe` or `unigram`, as a model file says."""
+    from sentencepiece import sentencepiece_model_pb2
 
+    proto = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as f:
+        proto.ParseFromString(f.read())
+    kinds = {1: "unigram", 2: "bpe"}
+    if proto.trainer_spec.model_type not in kinds:
+        raise ValueError("only unigram and BPE models")
+    return kinds[proto.trainer_spec.model_type]
 
-def _scan(chunks: DataFrame, model: str) -> DataFrame:
-    """(key, chunk, entry, leave) of every chunk, by blocks: combine, pass along the blocks, pass within each."""
-    n = vocabulary(model).longest
-    square = lambda m: np.frombuffer(m).reshape(n, n)
 
+def _scan(chunks: DataFrame, algebra: Sums | Chains) -> DataFrame:
+    """(key, chunk, entry, leave) of every chunk, by blocks: combine, pass along the blocks, pass within each."""
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, out = pdf.sort_values("chunk"), None
         for m in pdf["matrix"]:
-            out = square(m) if out is None else max_plus(out, square(m))
+            out = algebra.load(m) if out is None else algebra.combine(out, algebra.load(m))
         return pd.DataFrame({"key": pdf["key"].iloc[:1], "block": pdf["block"].iloc[:1], "matrix": [out.tobytes()]})
 
     def along(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("block")
-        s = states([square(m) for m in pdf["matrix"]], 0, 0)
+        s = algebra.states([algebra.load(m) for m in pdf["matrix"]], 0, 0)
         return pd.DataFrame({"key": pdf["key"], "block": pdf["block"], "begin": s[:-1], "finish": s[1:]})
 
     def within(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
-        s = states([square(m) for m in pdf["matrix"]], int(pdf["begin"].iloc[0]), int(pdf["finish"].iloc[0]))
+        s = algebra.states([algebra.load(m) for m in pdf["matrix"]], int(pdf["begin"].iloc[0]), int(pdf["finish"].iloc[0]))
         return pd.DataFrame({"key": pdf["key"], "chunk": pdf["chunk"], "entry": s[:-1], "leave": s[1:]})
 
     blocks = chunks.select("key", "block", "chunk", "matrix")
@@ -226,24 +77,27 @@ def _scan(chunks: DataFrame, model: str) -> DataFrame:
     return blocks.join(ends, ["key", "block"]).groupBy("key", "block").applyInPandas(within, "key long, chunk long, entry int, leave int")
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK, rule: str | None = None) -> DataFrame:
     """(id, n_chars, n_tokens, ids, decodes) of each document.
 
     Null and empty texts have no ids. The mark U+2581 in a text is the same as a space, as in the library; `decodes`
     tells that the ids give the text back otherwise. Ids of documents may be null or repeated: rows stay one to one.
-    Of equal paths the one whose last piece is longest wins. Columns besides the two are not read.
+    rule: `bpe` or `unigram`; the model's own by default. By the unigram rule, of equal paths the one whose last piece
+    is longest wins; by the merge rule there is one path. Columns besides the two are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     longest = vocabulary(model).longest
     chunk = max(chunk, 2 * longest)
+    made = {"bpe": merge_coder, "unigram": coder}[rule or rule_of(model)]
+    algebra = Chains(longest) if made is merge_coder else Sums(longest)
     size = F.coalesce(F.length(text_col), F.lit(0))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), size.cast("long").alias("n_chars"))
     result = f"id {kind}, n_chars long, n_tokens long, ids array<int>, decodes boolean"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(model)
+        own = made(model)
         for batch, texts in text_slices(batches):
             n, ids = own.encode(texts)
             at = np.r_[0, np.cumsum(n)]
@@ -255,7 +109,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     large = rows.withColumn("key", F.monotonically_increasing_id()).filter(size > giant)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(model)
+        own = made(model)
         for batch in batches:
             for doc, text, n, key in zip(*(c.to_pylist() for c in batch.columns)):
                 text = SPACE + text.replace(" ", SPACE)
@@ -263,21 +117,22 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                 for k in range(last + 1):
                     part = text[k * chunk :] if k == last else text[k * chunk : (k + 1) * chunk + longest - 1]
                     inside = len(part) if k == last else chunk
-                    yield pa.RecordBatch.from_pydict({"id": pa.array([doc], batch.schema.field(0).type), "key": [key], "n_chars": [n], "chunk": [k], "block": [k // BLOCK], "part": [part], "inside": [inside], "matrix": [own.matrix(part, inside).tobytes()]})
+                    before = text[max(0, k * chunk - longest) : k * chunk]
+                    yield pa.RecordBatch.from_pydict({"id": pa.array([doc], batch.schema.field(0).type), "key": [key], "n_chars": [n], "chunk": [k], "block": [k // BLOCK], "before": [before], "part": [part], "inside": [inside], "matrix": [own.matrix(before, part, inside, k == 0).tobytes()]})
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = coder(model)
+        own = made(model)
         for batch in batches:
             ids, good = [], []
-            for part, inside, entry, leave in zip(*(batch.column(c).to_pylist() for c in ("part", "inside", "entry", "leave"))):
-                ids.append(own.trace(part, inside, entry, leave).tolist())
+            for before, part, inside, entry, leave in zip(*(batch.column(c).to_pylist() for c in ("before", "part", "inside", "entry", "leave"))):
+                ids.append(own.trace(before, part, inside, entry, leave).tolist())
                 covered = own.raw(np.asarray(ids[-1], np.int64)).tobytes()
-                good.append(covered == part[entry : inside + leave].encode("utf-8", "surrogatepass"))
+                good.append(covered == part[algebra.covered(entry) : inside + algebra.covered(leave)].encode("utf-8", "surrogatepass"))
             names = ["id", "key", "n_chars", "chunk"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.list_(pa.int32())), pa.array(good, pa.bool_())], [*names, "ids", "decodes"])
 
-    chunks = stored(arrow_map(large, cut, f"id {kind}, key long, n_chars long, chunk long, block long, part string, inside long, matrix binary"), "chunks")
-    joined = chunks.drop("matrix", "block").join(_scan(chunks, model), ["key", "chunk"])
+    chunks = stored(arrow_map(large, cut, f"id {kind}, key long, n_chars long, chunk long, block long, before string, part string, inside long, matrix binary"), "chunks")
+    joined = chunks.drop("matrix", "block").join(_scan(chunks, algebra), ["key", "chunk"])
     each = arrow_map(joined, trace, f"id {kind}, key long, n_chars long, chunk long, ids array<int>, decodes boolean")
     back = each.groupBy("key").agg(F.first("id").alias("id"), F.first("n_chars").alias("n_chars"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"), F.min("decodes").alias("decodes"))
     ids = F.flatten(F.col("parts.ids"))

@@ -43,25 +43,42 @@ class Merger:
         ok = (k >= 0) & (left >= 0) & (right >= 0)
         return np.where(ok, self.ranks[k], NONE), self.ids[k]
 
+    def _parts(self, words: list[str]) -> Iterator[np.ndarray]:
+        """Places of words that are merged together: words of like length end after about as many rounds."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(lengths, kind="stable")
+        group = np.cumsum(lengths[order]) // TOGETHER
+        yield from np.split(order, np.flatnonzero(np.diff(group)) + 1)
+
     def counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each string, of any length."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
         out = np.zeros(len(words), np.int64)
-        order = np.argsort(lengths, kind="stable")  # words of like length end after about as many rounds
-        group = np.cumsum(lengths[order]) // TOGETHER
-        for part in np.split(order, np.flatnonzero(np.diff(group)) + 1):
-            out[part] = self._merged([words[i] for i in part.tolist()])
+        for part in self._parts(words):
+            word, sym, code = self._merged([words[i] for i in part.tolist()])
+            size = 1 + (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF)  # UTF-8 bytes
+            known = (sym < self.vocab.size) & (sym >= 0)
+            out[part] = np.bincount(word, weights=np.where(known, 1, size), minlength=len(part))
         return out
 
-    def _merged(self, words: list[str]) -> np.ndarray:
-        flat, lengths = codes_of(words)
-        total = np.zeros(len(words), np.int64)
-        sym = self.vocab.of_code[flat].astype(np.int64)
+    def symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many symbols each string keeps; all symbols end to end (-1: a character in no piece), and their first code points."""
+        found = []
+        for part in self._parts(words):
+            word, sym, code = self._merged([words[i] for i in part.tolist()])
+            found.append((part[word], sym, code))
+        word, sym, code = (np.concatenate(c) for c in zip(*found))
+        order = np.argsort(word, kind="stable")
+        return np.bincount(word, minlength=len(words)), sym[order], code[order]
+
+    def _merged(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, symbol, first code point) of the symbols that survive; those of a word are in order."""
+        code, lengths = codes_of(words)
+        sym = self.vocab.of_code[code].astype(np.int64)
         word = np.repeat(np.arange(len(words)), lengths)
-        size = 1 + (flat > 0x7F).astype(np.int64) + (flat > 0x7FF) + (flat > 0xFFFF)  # UTF-8 bytes
         rank = np.full(len(sym), NONE)  # of the pair of a symbol and the next one
         inside = np.flatnonzero(word[:-1] == word[1:]) if len(sym) else np.zeros(0, np.int64)
         rank[inside] = self.look(sym[inside], sym[inside + 1])[0]
+        ended = [(word[:0], sym[:0], code[:0])]
         while len(sym):
             first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
             lowest = np.minimum.reduceat(rank, first)
@@ -69,15 +86,14 @@ class Merger:
             done = lowest == NONE
             if done.any():
                 out = done[of]
-                known = (sym < self.vocab.size) & (sym >= 0)
-                np.add.at(total, word[out], np.where(known, 1, size)[out])
+                ended.append((word[out], sym[out], code[out]))
                 keep = ~out
-                sym, word, rank, size = sym[keep], word[keep], rank[keep], size[keep]
+                sym, word, rank, code = sym[keep], word[keep], rank[keep], code[keep]
                 continue
-            sym, word, rank, size = self._round(sym, word, rank, size, np.flatnonzero(rank == lowest[of]))
-        return total
+            sym, word, rank, code = self._round(sym, word, rank, code, np.flatnonzero(rank == lowest[of]))
+        return tuple(np.concatenate(c) for c in zip(*ended))
 
-    def _round(self, sym, word, rank, size, at):
+    def _round(self, sym, word, rank, code, at):
         """Merge each word's lowest pair wherever it stands, from left to right, as far as no better pair arises."""
         # Of pairs that share a symbol the left one is merged: keep every second one of a run.
         new_run = np.r_[True, np.diff(at) != 1]
@@ -91,7 +107,7 @@ class Merger:
         keep = np.ones(n, bool)
         keep[at + 1] = False
         moved = np.cumsum(keep) - 1
-        sym, word, size, rank = sym[keep], word[keep], size[keep], rank[keep]
+        sym, word, code, rank = sym[keep], word[keep], code[keep], rank[keep]
         at = moved[at]
         changed = np.zeros(len(sym) + 1, bool)
         changed[at] = changed[at - 1] = True  # at -1 stands the spare last one
@@ -100,7 +116,7 @@ class Merger:
         near = near[near + 1 < len(sym)]
         near = near[word[near] == word[near + 1]]
         rank[near] = self.look(sym[near], sym[near + 1])[0]
-        return sym, word, rank, size
+        return sym, word, rank, code
 
     def _until_better(self, sym, word, at, now, made):
         """The merges of each word up to the first one that brings a pair as good as itself or better."""
