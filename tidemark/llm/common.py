@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -77,12 +79,51 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Shuffle files go when the query that made them ends (a setting of Spark's): a table once written is read, not made again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: Paths of the tables written inside each open `scratch`, the innermost last; by thread.
+_OPEN = threading.local()
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Tables written with `stored` in here are removed at its end, but for those of the frames put into the list.
+
+    What leaves the scope must only read tables that were put there, or tables from outside.
+    """
+    scopes = _OPEN.__dict__.setdefault("scopes", [])
+    keep: list[DataFrame] = []
+    scopes.append([])
+    try:
+        yield keep
+    finally:
+        paths = scopes.pop()
+        kept = {p for frame in keep for p in getattr(frame, "_tidemark_paths", [])}
+        if scopes:
+            scopes[-1] += [p for p in paths if p in kept]
+        for path in paths:
+            if path not in kept:
+                place = spark._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as a Parquet table in the shared folder and read it again: this cuts its lineage."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tidemark_paths = [path]
+    scopes = _OPEN.__dict__.get("scopes")
+    if scopes:
+        scopes[-1].append(path)
+    return out
 
 
 def with_fields(df: DataFrame, **kinds: str) -> StructType:
