@@ -56,9 +56,8 @@ FEATURES = [
     broker("f_net_reversal", "net buying against its short mean", (ROWS, ("d", f"SELECT StockId, Date, 1.0 * sum(net) AS n FROM r {BY_DAY}")), (
         ("m", "rolling_mean", "n", 5, 3), ("s", "rolling_std", "n", 20, 10), ("x", "sql", "(n - m) / (s + 0.000000001)"), ("z", "zscore", "x", 5), ("y", "sql", "-z"), ("e", "ewm", "y", 10), *c5("e"))),
     broker("f_newcomer_net_momentum", "what small brokers pay against the vwap", (
-        ("q", f"SELECT StockId, Date, QUANTILE(vol, 0.5) AS half FROM b {BY_DAY}"),
-        ("s", f"""SELECT b.StockId, b.Date, count(*) AS n, sum(vol) AS v, sum(CASE WHEN vol <= half THEN pq_buy ELSE 0 END) / (sum(CASE WHEN vol <= half THEN buy ELSE 0 END) + 0.00000001) AS small, {VWAP} AS vwap
-              FROM b JOIN q ON b.StockId = q.StockId AND b.Date = q.Date GROUP BY b.StockId, b.Date"""),
+        ("q", "SELECT *, QUANTILE(vol, 0.5) OVER (PARTITION BY StockId, Date) AS half FROM b"),
+        ("s", f"""SELECT StockId, Date, count(*) AS n, sum(vol) AS v, sum(CASE WHEN vol <= half THEN pq_buy ELSE 0 END) / (sum(CASE WHEN vol <= half THEN buy ELSE 0 END) + 0.00000001) AS small, {VWAP} AS vwap FROM q {BY_DAY}"""),
         ("d", "SELECT StockId, Date, CASE WHEN n >= 3 AND v > 0 THEN CASE WHEN vwap > 0 THEN small / vwap - 1 ELSE 0.0 END END AS x FROM s")), (("y", "filled", "x"), ("value", "ewm", "y", 5))),
     broker("f_post_latency_infectivity_jump", "five days of leading net buying over the price range, times the jump in volume", (
         day(f"1.0 * {TOP5_BUY} AS top, max(avg_buy) / (min(avg_buy) + 0.00000001) - 1 AS width, 1.0 * sum(vol) AS v", "b"),), (
@@ -77,9 +76,8 @@ FEATURES = [
         ("top", "SELECT DISTINCT StockId, Date, BrokerId FROM k WHERE rank <= 5"),
         ("days", "SELECT StockId, Date, row_number() OVER (PARTITION BY StockId ORDER BY Date) AS ordinal FROM (SELECT DISTINCT StockId, Date FROM top) AS u"),
         ("o", "SELECT top.StockId, top.Date, BrokerId, ordinal FROM top JOIN days ON top.StockId = days.StockId AND top.Date = days.Date"),
-        ("m", "SELECT a.StockId, a.Date, count(*) AS hits FROM o AS a JOIN o AS c ON a.StockId = c.StockId AND a.BrokerId = c.BrokerId AND c.ordinal BETWEEN a.ordinal - 5 AND a.ordinal - 1 GROUP BY a.StockId, a.Date"),
-        ("z0", "SELECT StockId, Date, max(ordinal) AS ordinal, count(*) AS size FROM o GROUP BY StockId, Date"),
-        ("d", "SELECT z0.StockId, z0.Date, CASE WHEN ordinal > 5 THEN coalesce(hits, 0) / 5.0 / size END AS x FROM z0 LEFT JOIN m ON z0.StockId = m.StockId AND z0.Date = m.Date")), (("z", "zscore", "x", 60), *c5("z"))),
+        ("m", "SELECT StockId, Date, ordinal, count(*) OVER (PARTITION BY StockId, BrokerId ORDER BY ordinal RANGE BETWEEN 5 PRECEDING AND 1 PRECEDING) AS hits FROM o"),
+        ("d", f"SELECT StockId, Date, CASE WHEN max(ordinal) > 5 THEN sum(hits) / 5.0 / count(*) END AS x FROM m {BY_DAY}")), (("z", "zscore", "x", 60), *c5("z"))),
     broker("f_tumor_fingering_instability", "highest mean price paid over the vwap, by its buyers' share", (
         ("m", "SELECT *, max(avg_buy) OVER (PARTITION BY StockId, Date) AS top FROM b"),
         day(f"(max(top) - {VWAP}) / ({VWAP} + 0.00000001) * sum(CASE WHEN avg_buy = top THEN buy ELSE 0 END) / (sum(buy) + 0.00000001) AS x", "m")), (*Z42, *c5("z"))),
@@ -88,14 +86,13 @@ FEATURES = [
     with_daily("f_phy_geodesic_jacobi_convergence", "leading net buying times the day's return", (
         day("1.0 * sum(CASE WHEN by_vol <= 5 THEN net ELSE 0 END) AS top", "b"), joined("coalesce(top, 0.0) / CASE WHEN volume_k = 0 THEN 1.0 ELSE volume_k END * ret_pct AS x")), c0("x")),
     with_daily("f_retail_trap", "what the smaller net buyers paid above the day's vwap", (
-        ("q", f"SELECT StockId, Date, QUANTILE(vol, 0.8) AS most FROM b {BY_DAY}"),
-        ("d", """SELECT b.StockId, b.Date, sum(CASE WHEN vol <= most AND buy > sell THEN pq_buy END) / (sum(CASE WHEN vol <= most AND buy > sell THEN buy END) + 0.00000001) AS paid
-              FROM b JOIN q ON b.StockId = q.StockId AND b.Date = q.Date GROUP BY b.StockId, b.Date"""),
+        ("q", "SELECT *, QUANTILE(vol, 0.8) OVER (PARTITION BY StockId, Date) AS most FROM b"),
+        ("d", f"""SELECT StockId, Date, sum(CASE WHEN vol <= most AND buy > sell THEN pq_buy END) / (sum(CASE WHEN vol <= most AND buy > sell THEN buy END) + 0.00000001) AS paid FROM q {BY_DAY}"""),
         joined("open, high, low, close, coalesce(paid - turnover_value / (volume_k * 1000 + 0.00000001), 0.0) AS depth")), (*ATR, ("x", "sql", "depth / (atr + 0.00000001)"), ("z", "zscore", "x", 20, 1), *c0("z"))),
     with_daily("f_cost_stack", "the close above what the larger net buyers paid", (
         ("n", "SELECT * FROM b WHERE buy > sell"),
-        ("q", f"SELECT StockId, Date, QUANTILE(vol, 0.9) AS least FROM n {BY_DAY}"),
-        ("d", "SELECT n.StockId, n.Date, sum(CASE WHEN vol >= least THEN pq_buy END) / (sum(CASE WHEN vol >= least THEN buy END) + 0.00000001) AS paid FROM n JOIN q ON n.StockId = q.StockId AND n.Date = q.Date GROUP BY n.StockId, n.Date"),
+        ("q", "SELECT *, QUANTILE(vol, 0.9) OVER (PARTITION BY StockId, Date) AS least FROM n"),
+        ("d", f"SELECT StockId, Date, sum(CASE WHEN vol >= least THEN pq_buy END) / (sum(CASE WHEN vol >= least THEN buy END) + 0.00000001) AS paid FROM q {BY_DAY}"),
         joined("open, high, low, close, coalesce(nullif(paid, 0), close) AS paid")), (*ATR, ("x", "sql", "(close - paid) / (atr + 0.00000001)"), ("z", "zscore", "x", 20, 1), *c0("z"))),
     *(with_daily(name, text, (
         ("e", "SELECT f.StockId, f.Date, f.Price, f.BuyQtm, a.high, a.low FROM {brokers} AS f JOIN b ON f.StockId = b.StockId AND f.Date = b.Date AND f.BrokerId = b.BrokerId AND b.by_vol <= 10 JOIN {daily} AS a ON f.StockId = a.StockId AND f.Date = a.Date"),

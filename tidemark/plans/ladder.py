@@ -43,8 +43,8 @@ FEATURES = [
         ("d", f"SELECT StockId, Date, sum(CASE WHEN rank < 0.8 THEN morning_sell ELSE 0 END) / (sum(buy + sell) + 1) AS x FROM est {BY_DAY}"),), c0("x")),
     # Pairs (large brokers' direction, next day's ticks) of the 20 days before: counts over a window instead of loops.
     Feature("f_it_causal_kelly_growth", "cross_broker_tick", "growth by betting on the direction of large brokers", (
-        B, ("q", f"SELECT StockId, Date, QUANTILE(vol, 0.8) AS least FROM b WHERE vol > 0 {BY_DAY}"),
-        ("n", "SELECT b.StockId, b.Date, CASE WHEN sum(net) > 0 THEN 1 ELSE 0 END AS big FROM b JOIN q ON b.StockId = q.StockId AND b.Date = q.Date AND vol >= least GROUP BY b.StockId, b.Date"),
+        B, ("q", "SELECT *, QUANTILE(vol, 0.8) OVER (PARTITION BY StockId, Date) AS least FROM b WHERE vol > 0"),
+        ("n", f"SELECT StockId, Date, CASE WHEN sum(net) > 0 THEN 1 ELSE 0 END AS big FROM q WHERE vol >= least {BY_DAY}"),
         ("u", f"SELECT StockId, Date, CASE WHEN sum(CASE WHEN f = 1 THEN 1 ELSE 0 END) * 1.0 / count(*) > 0.5 THEN 1 ELSE 0 END AS up FROM {{ticks}} {BY_DAY}"),
         ("p", "SELECT u.StockId, u.Date, coalesce(big, 0) AS big, up, lag(coalesce(big, 0)) OVER (PARTITION BY u.StockId ORDER BY u.Date) AS big1 FROM u LEFT JOIN n ON u.StockId = n.StockId AND u.Date = n.Date"),
         ("w", """SELECT StockId, Date, big, count(*) OVER d20 AS days, sum(big) OVER d20 AS bigs, avg(1.0 * up) OVER d19 AS base,
