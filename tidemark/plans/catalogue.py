@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import brokers, columns, crosses, daily, ladder, paths, ticks, transforms, wide
+from tidemark.plans import brokers, columns, crosses, daily, dynamics, ladder, paths, ticks, transforms, wide
 from tidemark.plans.feature import Columns, Feature
-from tidemark.sources.sql import BROKERS, DAILY, TICKS
+from tidemark.sources.sql import BROKERS, DAILY, QUARTERS, TICKS
 from tidemark.sources.tables import inputs
 
-FEATURES: dict[str, Feature] = {f.name: f for part in (daily, ticks, brokers, crosses, ladder, transforms) for f in part.FEATURES}
+FEATURES: dict[str, Feature] = {f.name: f for part in (daily, ticks, brokers, crosses, ladder, transforms, dynamics) for f in part.FEATURES}
 
-TABLES: tuple[Columns, ...] = columns.TABLES + wide.TABLES + paths.TABLES
+TABLES: tuple[Columns, ...] = columns.TABLES + wide.TABLES + paths.TABLES + dynamics.TABLES
 
 
 def compute(names: list[str], **tables: DataFrame) -> DataFrame:
@@ -31,10 +31,18 @@ def catalogue(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(f.name, f.combination, f.description, list(f.reads)) for f in FEATURES.values()], "name string, combination string, description string, reads array<string>")
 
 
-def _query(feature: Feature | Columns) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: feature(**inputs(spark, sf_dir))
+def _query(feature: Feature | Columns, quarters: bool = False) -> Callable[[SparkSession, str], DataFrame]:
+    made = feature.told if isinstance(feature, Columns) else feature
+    return lambda spark, sf_dir: made(**inputs(spark, sf_dir, quarters))
 
 
-_SQL = {"ticks": TICKS.format(lineitem="lineitem"), "daily": DAILY.format(ticks="ticks"), "brokers": BROKERS.format(ticks="ticks")}
-QUERIES = {n: _query(f) for n, f in (FEATURES | {t.name: t for t in TABLES}).items()}
-ORACLES = {n: f.sql(_SQL) for n, f in (FEATURES | {t.name: t for t in TABLES}).items()}
+#: What needs more ticks a day than a month of the driver's trades has; these run over quarters too.
+LONG_DAYS = [
+    "f_be_salience_compression_stealth", "f_gt_trust_rebuilding_delay", "f_gt_uninformed_herding_bias", "f_qm_density_offdiag_relaxation", "f_sindy_residual_asymmetry",
+    *(t.name for t in dynamics.TABLES),
+]
+
+_ALL = FEATURES | {t.name: t for t in TABLES}
+_SQL, _QUARTERS = ({"ticks": t.format(lineitem="lineitem"), "daily": DAILY.format(ticks="ticks"), "brokers": BROKERS.format(ticks="ticks")} for t in (TICKS, QUARTERS))
+QUERIES = {n: _query(f) for n, f in _ALL.items()} | {f"{n}_quarters": _query(_ALL[n], True) for n in LONG_DAYS}
+ORACLES = {n: f.sql(_SQL) for n, f in _ALL.items()} | {f"{n}_quarters": _ALL[n].sql(_QUARTERS) for n in LONG_DAYS}

@@ -27,19 +27,20 @@ def read(what: Feature | Columns, inputs: dict[str, DataFrame]) -> None:
 @dataclass(frozen=True)
 class Feature:
     """name; what it reads (ticks, daily, brokers); named queries that follow each other, the last one by stock and
-    day; and steps (new column, function of series.py or 'sql', column or SQL text, further arguments...)."""
+    day; and steps (new column, function of series.py or 'sql', column or SQL text, further arguments...). A query may
+    have a second text after its first: how the other engine gets the same rows by another way."""
 
     name: str
     combination: str
     description: str
-    queries: tuple[tuple[str, str], ...]
+    queries: tuple[tuple[str, ...], ...]
     steps: tuple[tuple, ...]
     reads: tuple[str, ...] = field(default=("ticks",))
 
     def __call__(self, **inputs: DataFrame) -> DataFrame:
         read(self, inputs)
         spark = inputs[self.reads[0]].sparkSession
-        named = ", ".join(f"{n} AS ({q})" for n, q in self.queries)
+        named = ", ".join(f"{n} AS ({q})" for n, q, *_ in self.queries)
         df = spark.sql(_spark(f"WITH {named} SELECT * FROM {self.queries[-1][0]}"), **{k: inputs[k] for k in self.reads})
         for out, function, what, *args in self.steps:
             value = F.expr(_spark(what)) if function == "sql" else getattr(series, function)(F.col(what), *args)
@@ -50,7 +51,7 @@ class Feature:
     def sql(self, inputs: dict[str, str]) -> str:
         """The same for DuckDB; `inputs` has the SQL of what it reads."""
         parts = [f"{k} AS ({inputs[k]})" for k in ("ticks", *(r for r in self.reads if r != "ticks"))]
-        parts += [f"{n} AS ({q.format(**{k: k for k in inputs})})" for n, q in self.queries]
+        parts += [f"{n} AS ({q.format(**{k: k for k in inputs})})" for n, *_, q in self.queries]
         query = f"SELECT *, row_number() {series_sql.ORDER} AS age FROM {self.queries[-1][0]}"
         for k, (out, function, what, *args) in enumerate(self.steps):
             text = what if function == "sql" else getattr(series_sql, function)(what, *args)
@@ -60,19 +61,22 @@ class Feature:
 
 @dataclass(frozen=True)
 class Columns:
-    """Several columns of a stock and day made in one pass over the same plan."""
+    """Several columns of a stock and day made in one pass over the same plan. Queries and columns may have a second text
+    for the other engine; columns named in `arrays` are arrays of doubles, not rounded."""
 
     name: str
     description: str
-    queries: tuple[tuple[str, str], ...]
-    columns: tuple[tuple[str, str], ...]
+    queries: tuple[tuple[str, ...], ...]
+    columns: tuple[tuple[str, ...], ...]
     source: str
     reads: tuple[str, ...] = field(default=("ticks",))
     grouped: bool = True  # else the source has a row for each stock and day
+    arrays: tuple[str, ...] = field(default=())
 
-    def _text(self) -> str:
-        named = ", ".join(f"{n} AS ({q})" for n, q in self.queries)
-        exprs = ", ".join(f"round(CAST({e} AS DOUBLE), 6) + 0.0 AS {c}" for c, e in self.columns)
+    def _text(self, other: bool = False) -> str:
+        at = -1 if other else 1
+        named = ", ".join(f"{q[0]} AS ({q[at]})" for q in self.queries)
+        exprs = ", ".join(f"{c[at]} AS {c[0]}" if c[0] in self.arrays else f"round(CAST({c[at]} AS DOUBLE), 6) + 0.0 AS {c[0]}" for c in self.columns)
         return f"{named + ' ' if named else ''}SELECT StockId, Date, {exprs} FROM {self.source}{' GROUP BY StockId, Date' if self.grouped else ''}"
 
     def __call__(self, **inputs: DataFrame) -> DataFrame:
@@ -82,7 +86,18 @@ class Columns:
 
     def sql(self, inputs: dict[str, str]) -> str:
         parts = [f"{k} AS ({inputs[k]})" for k in ("ticks", *(r for r in self.reads if r != "ticks"))]
-        return _duckdb(f"WITH {', '.join(parts)}, " + self._text().format(**{k: k for k in inputs}))
+        text = f"WITH {', '.join(parts)}, " + self._text(True).format(**{k: k for k in inputs})
+        for c in self.arrays:
+            whole = f"array_to_string(list_transform({c}, lambda x: coalesce(CAST(CAST(round(x * 1000000) AS BIGINT) AS VARCHAR), '')), ',')"
+            text = f"SELECT * REPLACE ({whole} AS {c}) FROM ({text}) AS with_{c}"
+        return _duckdb(text)
+
+    def told(self, **inputs: DataFrame) -> DataFrame:
+        """The table with arrays as text, in whole millionths, so that any engine's rows compare."""
+        made = self(**inputs)
+        for c in self.arrays:
+            made = made.withColumn(c, F.array_join(F.transform(c, lambda x: F.coalesce(F.round(x * 1000000).cast("long").cast("string"), F.lit(""))), ","))
+        return made
 
 
 def _spark(text: str) -> str:

@@ -28,6 +28,9 @@ FROM (SELECT concat('S', CAST(floor(l_partkey / 1000) AS BIGINT)) AS StockId,
 WINDOW w AS (PARTITION BY StockId, Date ORDER BY sec, p, q, f, broker, mix ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """)
 
+#: The same with a quarter's trades as one day's: days of a thousand ticks, for what needs many bins of a day.
+QUARTERS = TICKS.replace("month(l_shipdate) * 100", "(floor((month(l_shipdate) - 1) / 3) * 3 + 1) * 100")
+
 #: Daily bars of the same ticks; the columns that ticks do not give are mixes of the keys, with nulls.
 DAILY = doubles("""
 SELECT StockId, Date, open, high, low, close, volume_k, 9000.0 + 500.0 * (Date % 7) AS shares_out_k,

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.required import missing, require  # noqa: F401
-from tidemark.sources.sql import BROKERS, DAILY, TICKS
+from tidemark.sources.sql import BROKERS, DAILY, QUARTERS, TICKS
 
 
 def read_parquet(spark: SparkSession, path: str, schema=None, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -25,10 +25,10 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.repartition("Date", "StockId").write.mode("overwrite").partitionBy("Date").parquet(path)
 
 
-def inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """{'ticks', 'daily', 'brokers'} made from the driver's lineitem table."""
+def inputs(spark: SparkSession, sf_dir: str, quarters: bool = False) -> dict[str, DataFrame]:
+    """{'ticks', 'daily', 'brokers'} made from the driver's lineitem table; a day has a month's trades, or a quarter's."""
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    ticks = spark.sql(TICKS, lineitem=lineitem)
+    ticks = spark.sql(QUARTERS if quarters else TICKS, lineitem=lineitem)
     return {"ticks": ticks, "daily": spark.sql(DAILY, ticks=ticks), "brokers": spark.sql(BROKERS, ticks=ticks)}
 
 
