@@ -134,7 +134,7 @@ RELAX = f"CASE WHEN n >= 10 THEN -({line(range(5), 'l')}) * sign(c1) END"
 
 #: Moves of a day's prices as states: up 0, even 1, down 2; counts of all nine steps and one more.
 STEPS = (
-    ("sg", "SELECT StockId, Date, pos, n, CASE WHEN dp > 0 THEN 0 WHEN dp < 0 THEN 2 ELSE 1 END AS s FROM t WHERE dp IS NOT NULL"),
+    ("sg", "SELECT StockId, Date, pos, n, CASE WHEN dp > 0 THEN 0 WHEN dp < 0 THEN 2 WHEN dp = 0 THEN 1 END AS s FROM t"),
     ("s1", f"SELECT *, lag(s) {IN_DAY} AS s0 FROM sg"),
     ("nine", "SELECT StockId, Date, max(n) AS n, " + ", ".join(f"1.0 + count(CASE WHEN s0 = {i} AND s = {j} THEN 1 END) AS k{i}{j}" for i in range(3) for j in range(3)) + f" FROM s1 {BY_DAY}"),
     ("chain", "SELECT StockId, Date, n, " + ", ".join(f"k{i}{j} / (k{i}0 + k{i}1 + k{i}2) AS p{i}{j}" for i in range(3) for j in range(3)) + " FROM nine"),
