@@ -52,6 +52,32 @@ def ewm(x: Column, span: int, m: int | None = None) -> Column:
     return F.when(F.count(x).over(days().rowsBetween(Window.unboundedPreceding, 0)) >= (max(span // 2, 2) if m is None else m), mean)
 
 
+def _recursive(x: Column, span: int, finish) -> Column:
+    """A fold over the days so far, from the first value on: mean m, and weight, squared weights and squares about m. Days whose
+    weights are below the last bit of a double are left out; a null day changes nothing."""
+    a = 2 / (span + 1)
+    back = max(2, math.ceil(40 / -math.log(1 - a)))
+    held = F.collect_list(x).over(days(back))
+    zero = F.struct(F.lit(None).cast("double").alias("m"), F.lit(0.0).alias("v"), F.lit(0.0).alias("w2"))
+
+    def step(acc: Column, y: Column) -> Column:
+        # Weights sum to one: (1 - a) of the old, a of the new; v is the weighted mean square about m, w2 the sum of squared weights.
+        old = acc["m"].isNull()
+        return F.struct(F.when(old, y).otherwise((1 - a) * acc["m"] + a * y).alias("m"), F.when(old, F.lit(0.0)).otherwise((1 - a) * (acc["v"] + a * (y - acc["m"]) * (y - acc["m"]))).alias("v"), F.when(old, F.lit(1.0)).otherwise((1 - a) ** 2 * acc["w2"] + a * a).alias("w2"))
+
+    return F.aggregate(held, zero, step, finish)
+
+
+def ewm_recursive(x: Column, span: int) -> Column:
+    """m = (1 - a) m + a x, from the first value on, a = 2 / (span + 1)."""
+    return _recursive(x, span, lambda acc: acc["m"])
+
+
+def ewm_recursive_std(x: Column, span: int) -> Column:
+    """The deviation that belongs to it, corrected for bias by the sum of squared weights; null for one value."""
+    return _recursive(x, span, lambda acc: F.when(acc["w2"] < 1, F.sqrt(acc["v"] / (1 - acc["w2"]))))
+
+
 def pct_rank(x: Column, w: int, m: int) -> Column:
     """The share of the last w values at or below the current one; equal values have their mean rank."""
     held = F.collect_list(x).over(days(w))

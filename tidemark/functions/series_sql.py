@@ -30,6 +30,25 @@ def ewm(x: str, span: int, m: int | None = None) -> str:
     return f"CASE WHEN count({x}) {days('all')} >= {least} THEN sum({x} * {grow}) {days('all')} / sum(CASE WHEN {x} IS NOT NULL THEN {grow} END) {days('all')} END"
 
 
+def _weights(span: int) -> tuple[str, str]:
+    """Growing weights of the days, the first one's larger by 1 / a, and the frame of all days so far."""
+    a = 2 / (span + 1)
+    return f"(CASE WHEN age = 1 THEN 1.0 ELSE {a!r} END * pow({1 / (1 - a)!r}, age - 1))", days("all")
+
+
+def ewm_recursive(x: str, span: int) -> str:
+    """By sums of growing weights over all days; fit for series of some hundred days without nulls."""
+    w, frame = _weights(span)
+    return f"sum({x} * {w}) {frame} / sum({w}) {frame}"
+
+
+def ewm_recursive_std(x: str, span: int) -> str:
+    w, frame = _weights(span)
+    total, mean = f"(sum({w}) {frame})", f"({ewm_recursive(x, span)})"
+    square = f"(sum({x} * {x} * {w}) {frame} / {total} - {mean} * {mean})"
+    return f"CASE WHEN age > 1 THEN sqrt(greatest({square}, 0.0) / (1 - sum({w} * {w}) {frame} / ({total} * {total}))) END"
+
+
 def pct_rank(x: str, w: int, m: int) -> str:
     held = f"list_filter(list({x}) {days(w)}, lambda y: y IS NOT NULL)"
     return f"CASE WHEN {x} IS NOT NULL AND len({held}) >= {m} THEN (len(list_filter({held}, lambda y: y < {x})) + (len(list_filter({held}, lambda y: y = {x})) + 1) / 2) / len({held}) END"
