@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import bins, brokers, columns, crosses, daily, dynamics, ladder, paths, quiet, ticks, transforms, wide
+from tidemark.plans import bins, brokers, columns, crosses, daily, dynamics, ladder, leaders, paths, quiet, ticks, transforms, wide
 from tidemark.plans.feature import Columns, Feature
 from tidemark.sources.sql import BROKERS, DAILY, QUARTERS, TICKS
 from tidemark.sources.tables import inputs
 
-FEATURES: dict[str, Feature] = {f.name: f for part in (daily, ticks, brokers, crosses, ladder, transforms, dynamics, quiet) for f in part.FEATURES}
+FEATURES: dict[str, Feature] = {f.name: f for part in (daily, ticks, brokers, crosses, ladder, transforms, dynamics, quiet, leaders) for f in part.FEATURES}
 
 TABLES: tuple[Columns, ...] = columns.TABLES + wide.TABLES + paths.TABLES + dynamics.TABLES + bins.TABLES + quiet.TABLES
 
