@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import bins, brokers, columns, crosses, daily, dynamics, ladder, leaders, paths, quiet, ticks, transforms, wide
+from tidemark.plans import bins, brokers, columns, crosses, daily, dynamics, ladder, leaders, paths, quiet, shared, ticks, transforms, wide
 from tidemark.plans.feature import Columns, Feature
 from tidemark.sources.sql import BROKERS, DAILY, QUARTERS, TICKS
 from tidemark.sources.tables import inputs
@@ -16,14 +16,16 @@ FEATURES: dict[str, Feature] = {f.name: f for part in (daily, ticks, brokers, cr
 TABLES: tuple[Columns, ...] = columns.TABLES + wide.TABLES + paths.TABLES + dynamics.TABLES + bins.TABLES + quiet.TABLES
 
 
+#: The table that has a column; the first that names it.
+COLUMNS: dict[str, Columns] = {c[0]: t for t in reversed(TABLES) for c in t.columns}
+
+
 def compute(names: list[str], **tables: DataFrame) -> DataFrame:
-    """One table of several features by stock and day; a key that any of them has is in it."""
-    if unknown := [n for n in names if n not in FEATURES]:
+    """One table of several features and columns by stock and day; a key that any of them has is in it. What reads the same
+    ticks, broker days or daily bars in the same way is one plan."""
+    if unknown := [n for n in names if n not in FEATURES and n not in COLUMNS]:
         raise KeyError(f"unknown features: {', '.join(unknown)}")
-    out = FEATURES[names[0]](**tables)
-    for n in names[1:]:
-        out = out.join(FEATURES[n](**tables), ["StockId", "Date"], "full_outer")
-    return out
+    return shared.compute(names, FEATURES, COLUMNS, tables)
 
 
 def catalogue(spark: SparkSession) -> DataFrame:

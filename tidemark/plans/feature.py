@@ -41,9 +41,9 @@ class Feature:
         read(self, inputs)
         spark = inputs[self.reads[0]].sparkSession
         named = ", ".join(f"{n} AS ({q})" for n, q, *_ in self.queries)
-        df = spark.sql(_spark(f"WITH {named} SELECT * FROM {self.queries[-1][0]}"), **{k: inputs[k] for k in self.reads})
+        df = spark.sql(as_spark(f"WITH {named} SELECT * FROM {self.queries[-1][0]}"), **{k: inputs[k] for k in self.reads})
         for out, function, what, *args in self.steps:
-            value = F.expr(_spark(what)) if function == "sql" else getattr(series, function)(F.col(what), *args)
+            value = F.expr(as_spark(what)) if function == "sql" else getattr(series, function)(F.col(what), *args)
             df = df.withColumn(out, value)
         last = self.steps[-1][0]
         return df.select("StockId", "Date", (F.round(F.col(last), 6) + F.lit(0.0)).alias(self.name))
@@ -56,7 +56,7 @@ class Feature:
         for k, (out, function, what, *args) in enumerate(self.steps):
             text = what if function == "sql" else getattr(series_sql, function)(what, *args)
             query = f"SELECT *, {text} AS {out} FROM ({query}) AS s{k}"
-        return _duckdb(f"WITH {', '.join(parts)} SELECT StockId, Date, round({self.steps[-1][0]}, 6) + 0.0 AS {self.name} FROM ({query}) AS done")
+        return as_duckdb(f"WITH {', '.join(parts)} SELECT StockId, Date, round({self.steps[-1][0]}, 6) + 0.0 AS {self.name} FROM ({query}) AS done")
 
 
 @dataclass(frozen=True)
@@ -82,7 +82,7 @@ class Columns:
     def __call__(self, **inputs: DataFrame) -> DataFrame:
         read(self, inputs)
         spark = inputs[self.reads[0]].sparkSession
-        return spark.sql(_spark("WITH " + self._text()), **{k: inputs[k] for k in self.reads})
+        return spark.sql(as_spark("WITH " + self._text()), **{k: inputs[k] for k in self.reads})
 
     def sql(self, inputs: dict[str, str]) -> str:
         parts = [f"{k} AS ({inputs[k]})" for k in ("ticks", *(r for r in self.reads if r != "ticks"))]
@@ -90,7 +90,7 @@ class Columns:
         for c in self.arrays:
             whole = f"array_to_string(list_transform({c}, lambda x: coalesce(CAST(CAST(round(x * 1000000) AS BIGINT) AS VARCHAR), '')), ',')"
             text = f"SELECT * REPLACE ({whole} AS {c}) FROM ({text}) AS with_{c}"
-        return _duckdb(text)
+        return as_duckdb(text)
 
     def told(self, **inputs: DataFrame) -> DataFrame:
         """The table with arrays as text, in whole millionths, so that any engine's rows compare."""
@@ -100,9 +100,9 @@ class Columns:
         return made
 
 
-def _spark(text: str) -> str:
+def as_spark(text: str) -> str:
     return doubles(text).replace(" IGNORE NULLS)", ") IGNORE NULLS").replace("QUANTILE(", "percentile(").replace("DAYS_ORDER", "OVER (PARTITION BY StockId ORDER BY Date)")
 
 
-def _duckdb(text: str) -> str:
+def as_duckdb(text: str) -> str:
     return doubles(text).replace("QUANTILE(", "quantile_cont(").replace("DAYS_ORDER", series_sql.ORDER)
