@@ -183,21 +183,6 @@ TICK_COLUMNS = Columns("raw_tick_columns", "volumes, prices and slopes of a day'
     ("Small_Thresh", "greatest(1.0, max(q30))"), ("Large_Thresh", "greatest(1.0, max(q80))"), ("vwap", "max(vwap)"),
 ), "s")
 
-BIN = "SELECT StockId, Date, {id} AS bin, min_by(p, pos) AS first, max_by(p, pos) AS last, sum(q) AS vol, sum(buy) AS buy, sum(sell) AS sell, sum(p * q) / sum(q) AS vwap, count(*) AS ticks, max(sec) - min(sec) AS lasted, max(tot) AS tot FROM t GROUP BY StockId, Date, {id}"
-RETURNS = f"SELECT *, last / nullif(lag(last) OVER (PARTITION BY StockId, Date ORDER BY bin), 0) - 1 AS ret, count(*) OVER {D} AS bins, (buy - sell) / (1.0 * vol) AS ofi FROM bins"
-VOLUME_BARS = Columns("raw_volume_bar_columns", "bars of 500 lots", (T, ("bins", BIN.format(id="floor(cum_q / 500)")), ("r", RETURNS), ("k", f"SELECT *, avg(1.0 * vol) OVER {D} AS mean_vol, QUANTILE(ret, 0.05) OVER {D} AS low5, QUANTILE(ret, 0.95) OVER {D} AS high5 FROM r")), (
-    ("raw_vwap_trend", f"{slope('bin', 'vwap', 2)} / avg(vwap)"), ("raw_vb_ofi_vol", "coalesce(stddev_samp(ofi), 0.0)"), ("raw_vb_vwap_twap_dev", "sum(vwap * vol) / sum(vol) / avg(last) - 1"), ("raw_vb_close_vwap_dev", "max_by(last, bin) / (sum(vwap * vol) / sum(vol)) - 1"),
-    ("raw_vb_trade_dispersion", "coalesce(stddev_samp(ticks) / avg(ticks), 0.0)"), ("raw_vb_absorption_ratio", f"{csum('ret = 0', 'vol')} * 1.0 / sum(vol)"),
-    ("raw_vb_ext_dur_ratio", "CASE WHEN max(bins) > 10 THEN coalesce(avg(CASE WHEN ret <= low5 OR ret >= high5 THEN 1.0 * lasted END) / nullif(avg(CASE WHEN ret > low5 AND ret < high5 THEN 1.0 * lasted END), 0), 0.0) ELSE 0.0 END"),
-), "k")
-DOLLAR_BARS = Columns("raw_dollar_bar_columns", "bars of 30 million", (T, ("bins", BIN.format(id="floor(cum_pq * 1000 / 30000000)")), ("r", RETURNS), ("k", f"SELECT *, 1.0 * vol / (lasted + 1) AS speed, sum(vol) OVER (PARTITION BY StockId, Date ORDER BY bin ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 5.0 AS vol5, avg(1.0 * vol) OVER {D} AS mean_vol FROM r"), ("e", f"SELECT *, QUANTILE(speed, 0.9) OVER {D} AS fast FROM k")), (
-    ("raw_db_vpin", "sum(abs(buy - sell)) * 1.0 / sum(vol)"), ("raw_db_downside_dev", "coalesce(sqrt(avg(CASE WHEN ret < 0 THEN ret * ret WHEN ret IS NOT NULL THEN 0.0 END)), 0.0)"),
-    ("raw_db_peak_vel_ratio", "CASE WHEN max(bins) > 10 THEN max(vol5) / max(mean_vol) ELSE 0.0 END"), ("raw_db_high_vel_vol", "CASE WHEN max(bins) > 10 THEN coalesce(sum(CASE WHEN speed >= fast THEN abs(ret) END), 0.0) ELSE 0.0 END"), ("raw_dbar_vol", "coalesce(stddev_samp(ret), 0.0)"),
-), "e")
-TICK_BARS = Columns("raw_tick_bar_columns", "bars of 50 ticks", (T, ("bins", BIN.format(id="floor(pos / 50)")), ("r", RETURNS), ("k", f"SELECT *, bin - row_number() OVER (PARTITION BY StockId, Date, CASE WHEN ret > 0 THEN 1 ELSE 0 END ORDER BY bin) AS island, sign(ret) AS s, lag(sign(ret)) OVER (PARTITION BY StockId, Date ORDER BY bin) AS s1 FROM r"), ("e", "SELECT *, count(CASE WHEN ret > 0 THEN 1 END) OVER (PARTITION BY StockId, Date, island, CASE WHEN ret > 0 THEN 1 ELSE 0 END) AS run FROM k")), (
-    ("raw_tkb_run_length", "max(CASE WHEN ret > 0 THEN run ELSE 0 END)"), ("raw_tkb_reversal_freq", "coalesce(1.0 * count(CASE WHEN s <> coalesce(s1, 2) THEN 1 END) / nullif(count(s), 0), 0.0)"), ("raw_total_vol_50bin", "sum(CASE WHEN ticks = 50 THEN vol ELSE 0 END)"),
-), "e")
-
 #: The ladder of a day's prices with what share of each was active, in the morning or late, and each broker's estimate by it.
 PRICES = (
     "l",
@@ -246,4 +231,4 @@ CROSS_100 = Columns("raw_bin100_columns", "bins of 100 ticks with small and larg
     ("raw_loss_domain_max", "max(CASE WHEN vwap < 0.98 * open THEN coalesce(sp_dev, 0.0) / (coalesce(sp_mean, 1.0) + 0.00000001) ELSE 0.0 END)"),
 ), "bin", ("ticks", "daily"))
 
-TABLES = (DAILY_COLUMNS, DAILY_SIGNS, FILL_COLUMNS, BROKER_MORE, BROKER_SERIES, BROKER_DAILY, TICK_COLUMNS, VOLUME_BARS, DOLLAR_BARS, TICK_BARS, LADDER_COLUMNS, CROSS_TICKS, CROSS_50, CROSS_100)
+TABLES = (DAILY_COLUMNS, DAILY_SIGNS, FILL_COLUMNS, BROKER_MORE, BROKER_SERIES, BROKER_DAILY, TICK_COLUMNS, LADDER_COLUMNS, CROSS_TICKS, CROSS_50, CROSS_100)
