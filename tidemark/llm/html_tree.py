@@ -8,7 +8,7 @@ import re
 # Kinds of elements by the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
-HIDDEN = set("head script style noscript template svg math iframe object select option button textarea input datalist canvas audio video form".split())
+HIDDEN = set("head script style noscript template svg math iframe object select option button textarea input datalist canvas audio video".split())
 FRAMES = set("nav aside footer".split())
 RAW = set("script style textarea title xmp noembed noframes iframe".split())
 CLOSES_P = set("address article aside blockquote center details dialog dd dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section summary table ul".split())
@@ -34,18 +34,64 @@ class Tree:
         #: Pieces of text: (element, text, number of the block that it stands in).
         self.pieces: list[tuple[int, str, int]] = []
         self._read(page)
+        self._drop_forms()
         for i in range(len(self.tags) - 1, 0, -1):  # sums over subtrees
             p = self.parents[i]
             self.chars[p] += self.chars[i]
             self.linked[p] += self.linked[i]
             self.stops[p] += self.stops[i]
+        self._forget_wrappers()
+
+    def _below(self, i: int) -> range:
+        """The elements within one, itself first: they follow each other."""
+        end = i + 1
+        while end < len(self.tags) and self.parents[end] >= i:
+            end += 1
+        return range(i, end)
+
+    def _drop_forms(self) -> None:
+        """Forms are hidden, but for one around the whole page: it holds an article or main element, or more than half of
+        the page's text and three paragraphs."""
+        forms = [i for i, t in enumerate(self.tags) if t == "form" and not self.hidden[i]]
+        if not forms:
+            return
+        total, gone = sum(self.chars), False
+        for i in forms:
+            below = self._below(i)
+            tags = [self.tags[j] for j in below]
+            if "article" in tags or "main" in tags or 2 * sum(self.chars[j] for j in below) > total and tags.count("p") >= 3:
+                continue
+            gone = True
+            for j in below:
+                self.hidden[j] = True
+                self.chars[j] = self.linked[j] = self.stops[j] = 0
+        if gone:
+            self.pieces = [p for p in self.pieces if not self.hidden[p[0]]]
+
+    def _forget_wrappers(self) -> None:
+        """The names of an element around the page's first heading (or a main element) and more than half of its text tell
+        nothing: they speak of the page's layout."""
+        heading = next((i for h in ("h1", "h2") for i, t in enumerate(self.tags) if t == h and not self.hidden[i]), None)
+        inside = {i for i, t in enumerate(self.tags) if t == "main"} | ({heading} if heading is not None else set())
+        around: set[int] = set()
+        for i in inside:
+            while (i := self.parents[i]) > 0:
+                around.add(i)
+        wide = [i for i in around if self.cues[i] == "against" and 2 * self.chars[i] > self.chars[0] and self.tags[i] not in FRAMES]
+        for i in wide:
+            self.cues[i] = "none"
+        if wide:
+            for i in range(1, len(self.tags)):
+                tag = self.tags[i]
+                own = tag in FRAMES or tag == "header" and not self.within[self.parents[i]] or self.cues[i] == "against" and tag not in ("html", "body")
+                self.framed[i] = self.framed[self.parents[i]] or own
 
     def _open(self, tag: str, attributes: str, parent: int) -> int:
         cue, label = "none", None
         for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
             value = "".join(values).lower()
             if name.lower() == "data-label":
-                label = int(value)
+                label = {"0": 0, "1": 1}.get(value, label)  # pages use the attribute for other things too
                 continue
             for w in _WORD.findall(value):
                 got = _CUES.get(w)

@@ -20,6 +20,8 @@ from tidemark.llm.common import arrow_map, small_batches, stored
 
 #: Vectors and queries of a block, and bits of a component in the approximation.
 BLOCK, QUERIES, BITS = 8192, 1024, 5
+#: A component times 64 must be a 63-bit integer: beyond that no score is one of 64 bits.
+LARGEST = 2.0**56
 #: Exact vectors are read in steps of so many for each query at a time.
 STEP = 64
 
@@ -71,14 +73,14 @@ def nearest(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids
 
 def cells(vec: Column, scale: int) -> Column:
     """floor(scale * x) of each component as doubles; null for a vector that is null or has a bad component."""
-    fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < 2.0**40))
+    fine = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < LARGEST))
     return F.when(vec.isNotNull() & (F.size(vec) > 0) & fine, F.transform(vec, lambda x: F.floor(x.cast("double") * scale)))
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = 64) -> DataFrame:
     """(query_id, rank, id, score) of each query's k highest integer inner products; all, if there are fewer.
 
-    Vectors that are null, empty, or have a component that is null, not finite or beyond 2^40 take no part, nor do rows
+    Vectors that are null, empty, or have a component that is null, not finite or beyond LARGEST take no part, nor do rows
     with a null id. A query is compared with the vectors of its own length, except rows with its own id. Repeated
     vectors under other ids are all returned; rows that repeat an id count as separate vectors. Sums beyond 64 bits
     are not supported.
