@@ -4,7 +4,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidemark.plans import leaders, quiet
+from tests.core.test_loops import ticks_of
+from tidemark.plans import leaders, pairs, quiet
 
 E9 = 1e-9
 
@@ -209,3 +210,85 @@ def test_recursive_means(spark, tables):
     for stock in "AB":
         xs = pd.Series([spread_of(d)["x"] for _, d in tables[0][tables[0].StockId == stock].groupby("Date") if d[["BuyQtm", "SellQtm"]].to_numpy().sum() > 0])
         assert np.allclose(nets[stock], xs.ewm(span=5, adjust=False).mean(), atol=2e-6)
+
+
+def test_sets_of_leading_brokers(spark, tables):
+    given = {"brokers": spark.createDataFrame(tables[0])}
+    jaccard = {(r.StockId, r.Date): r.raw_top5_jaccard for r in pairs.JACCARD(**given).collect()}
+    consistent = {(r.StockId, r.Date): r.raw_top5_consistency for r in pairs.CONSISTENT(**given).collect()}
+    for stock in "ABC":
+        buyers, fills = [], []
+        for date, d, net, vol, buy in days_of(tables[0], stock):
+            entries = (d.BuyQtm > 0).groupby(d.BrokerId).sum()
+            buyers.append((date, set(sorted(buy.index, key=lambda b: (-buy[b], -entries[b], b))[:5])))
+            lead = d.assign(net=d.BuyQtm - d.SellQtm).sort_values(["net", "BrokerId", "Price"], ascending=[False, True, True])
+            fills.append((date, set(lead.BrokerId[:5])))
+        for i, (date, now) in enumerate(buyers):
+            past = set().union(*(s for _, s in buyers[max(0, i - 4) : i]))
+            want = len(past & now) / len(past | now) if i >= 4 else None
+            assert jaccard[stock, date] is None if want is None else abs(jaccard[stock, date] - want) < 1e-6
+        for i, (date, now) in enumerate(fills):
+            want = np.mean([len(now & fills[i - j][1]) / len(now) for j in range(1, 6)]) if i >= 5 else None
+            assert consistent[stock, date] is None if want is None else abs(consistent[stock, date] - want) < 1e-6
+    assert len(set(jaccard.values())) > 5 and len(set(consistent.values())) > 5
+
+
+def test_seconds_of_leading_brokers(spark, tables):
+    brokers, ticks = tables
+    ticks = ticks[ticks.Date < 20240140]
+    made = {(r.StockId, r.Date): r for r in pairs.SYNC(brokers=spark.createDataFrame(brokers), ticks=spark.createDataFrame(ticks)).collect()}
+    seen = set()
+    for (stock, date), t in ticks.groupby(["StockId", "Date"]):
+        d = brokers[(brokers.StockId == stock) & (brokers.Date == date)]
+        a = d.groupby("BrokerId")[["BuyQtm", "SellQtm"]].sum()
+        net = a.BuyQtm - a.SellQtm
+        top = sorted(a.index, key=lambda b: (-net[b], -a.BuyQtm[b], b))[:5]
+        at = t.groupby("p").sec.agg(set)
+        held = [set().union(*(at.get(p, set()) for p in d.Price[d.BrokerId == b])) for b in top]
+        both = [(len(x & y), len(x | y)) for k, x in enumerate(held) for y in held[:k]]
+        ratios = [i / u for i, u in both if u]
+        want = np.mean(ratios) if len(a) >= 5 and ratios else None
+        got = made[stock, date]
+        assert got.raw_broker_sync_intensity is None if want is None else abs(got.raw_broker_sync_intensity - want) < 1e-6
+        last = t.groupby(t.sec // 60).p.last()
+        work = net[top].clip(lower=0).sum() / (last.pct_change().abs().fillna(0).sum() * 1000 + 1e-5)
+        assert abs(got.raw_eth_conservative_work_divergence - work) < 1e-5 * max(1, abs(work))
+        seen.add(want)
+    assert len(seen) > 5
+
+
+def test_ticks_with_daily_bars(spark, tables):
+    long = ticks_of(9)
+    ticks = pd.concat([tables[1][tables[1].Date < 20240130], long.assign(StockId=long.StockId.str.lower())], ignore_index=True)
+    rng = np.random.default_rng(4)
+    ticks["ask"], ticks["bid"] = ticks.p + rng.choice([0.1, 0.2], len(ticks)), ticks.p - rng.choice([0.1, 0.3], len(ticks))
+    bars = ticks.groupby(["StockId", "Date"], as_index=False).agg(open=("p", "first"), high=("p", "max"), low=("p", "min"), close=("p", "last"), volume_k=("q", "sum")).assign(shares_out_k=1.0)
+    bars["open"] += rng.choice([-0.1, 0.0, 0.1], len(bars))
+    made = pairs.TICK_DAILY(ticks=spark.createDataFrame(ticks), daily=spark.createDataFrame(bars)).toPandas().set_index(["StockId", "Date"])
+    want = {}
+    for stock, days in bars.groupby("StockId"):
+        run, vols, last = 0, [], None
+        for r in days.itertuples():
+            t = ticks[(ticks.StockId == stock) & (ticks.Date == r.Date)]
+            run, vols = (run + 1, [*vols, r.volume_k * 1000]) if last is not None and r.close > last else (0, [])
+            last, vwap, p, q, f = r.close, np.average(t.p, weights=t.q), t.p.to_numpy(), t.q.to_numpy(), t.f.to_numpy()
+            above = p >= vwap
+            cross = above != np.append(False, above[:-1])
+            low, high = min(vwap, r.open), max(vwap, r.open)
+            both = np.append(False, (f[1:] == 1) & (p[:-1] < low) & (p[1:] > high))
+            vol = t.groupby("p").q.sum()
+            mode = vol.idxmax()
+            garbled = stream = 0.0
+            means = [np.average(p[s : s + 200], weights=q[s : s + 200]) for s in range(0, len(p) // 200 * 200, 200)]
+            for k in range(1, len(means)):
+                g = slice(k * 200, k * 200 + 200)
+                garbled += q[g].sum() / (abs((f[g] == 1).sum() - (f[g] == 0).sum()) + 1e-5) if means[k] < means[k - 1] else 0.0
+            spread = (t.ask - t.bid).to_numpy()
+            for s in range(0, len(p) // 50 * 50, 50):
+                g = slice(s, s + 50)
+                stream += np.diff(spread[g][:5]).mean() * (q[g] * np.where(f[g] == 1, 1, np.where(f[g] == 0, -1, 0))).sum() * max(0, p[s + 49] - p[s])
+            want[stock, r.Date] = {"raw_cross_count": cross.sum(), "raw_cross_vol": q[cross].sum(), "raw_cross_both_vol": q[both].sum(), "raw_mode_price": mode, "raw_patch_thickness": vol[(vol.index >= mode * 0.995) & (vol.index <= mode * 1.005)].sum() / (vol.sum() + 1e-8), "raw_consecutive_up_days": run, "raw_consecutive_up_vol": np.mean(vols) if run else 0.0, "raw_bin200_garbling_dumping": garbled, "raw_riverbend_val": stream}
+    frame = pd.DataFrame(want).T
+    for c in frame:
+        got = made[c].reindex(frame.index)
+        assert np.allclose(got, frame[c].astype(float), rtol=1e-6, atol=2e-5) and frame[c].nunique() > 2, c
