@@ -188,7 +188,7 @@ def test_segments_and_feedback(spark, tables):
     for k, d in some.groupby(["StockId", "Date"]):
         parts = [d[(d.sec >= 32400 + s * 1800) & (d.sec < 34200 + s * 1800)] for s in range(8)]
         fine = [len(d) >= 20 and len(g) >= 3 for g in parts]
-        for got, f in ((segments[k].raw_tick_segments_entropy, lambda g: h((g.f == 1).mean())), (segments[k].raw_tick_segments_vwap, lambda g: (g.p * g.q).sum() / (g.q.sum() + E9))):
+        for got, f in ((segments[k].raw_tick_segments_h, lambda g: h((g.f == 1).mean())), (segments[k].raw_tick_segments_vwap, lambda g: (g.p * g.q).sum() / (g.q.sum() + E9))):
             assert [x is None for x in got] == [not x for x in fine]
             assert all(abs(x - f(g)) < 1e-6 for x, g, ok in zip(got, parts, fine) if ok)
         y = (d.f == 1).astype(int).to_numpy()

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tidemark.plans import bars, bins, dynamics, marks
+from tidemark.plans import bars, bins, dynamics, histograms, marks
 
 E = 1e-10
 
@@ -530,6 +530,47 @@ def centroid(d):
     return (f * power).sum() / (power.sum() + E) * (sign(change) or 1e-5)
 
 
+def modes(p: np.ndarray) -> tuple[float, float]:
+    """The higher and the lower of the two highest peaks of a smoothed histogram, or the mean twice."""
+    counts, edges = np.histogram(p, bins=50)
+    curve = np.exp(-0.5 * (np.arange(-8, 9) / 2.0) ** 2)
+    mirrored = np.concatenate((counts[:8][::-1], counts, counts[-8:][::-1]))
+    s = np.round(np.convolve(mirrored, curve / curve.sum(), "valid"), 9)
+    at = [i for i in range(1, 49) if all(s[i] > s[min(max(i + d, 0), 49)] for k in (1, 2, 3) for d in (-k, k))]
+    if len(at) < 2:
+        return p.mean(), p.mean()
+    top = sorted(sorted(at, key=lambda i: (s[i], i))[-2:])
+    middle = (edges[:-1] + edges[1:]) / 2
+    return middle[top[1]], middle[top[0]]
+
+
+def phases(d):
+    if len(d) < 50:
+        return 0.0
+    bends = np.diff(smoothed((d.p * d.q).cumsum() / (d.q.cumsum() + E), 20), n=2)
+    half = len(d) // 2 - 2
+    high, low = modes(d.p.to_numpy())
+    return high * bends[:half].mean() + low * bends[half:].mean()
+
+
+def states(d):
+    span, out = (d.sec - d.sec.min()) // 300, []
+    if len(d) < 100 or span.nunique() < 3:
+        return 0.0
+    for _, g in d.groupby(span):
+        p = g.p.to_numpy()
+        if len(p) < 20:
+            continue
+        above, m = p >= sum(modes(p)) / 2, np.ones((2, 2))
+        for a, b in zip(1 - above[:-1].astype(int), 1 - above[1:].astype(int)):
+            m[a, b] += 1
+        m /= m.sum(axis=1, keepdims=True)
+        quick = np.diff(p, n=2)
+        parts = [quick[w[2:]].mean() if w[2:].any() else 0.0 for w in (above, ~above)]
+        out.append((m[1, 0] * parts[0] + m[0, 1] * parts[1]) / (m[1, 0] + m[0, 1]))
+    return np.mean(out) if out else 0.0
+
+
 BARS = {
     "raw_ofi_skew": lambda d: safe(by_volume(d).ofi.skew()), "raw_vwap_trend": vwap_slope, "raw_vb_large_domination": lambda d: (lambda b: (b.most / (b.vol + 1e-5) > 0.3).mean())(by_volume(d)),
     "raw_vb_sell_intensity_var": lambda d: safe(by_volume(d).sell.var()), "raw_vb_pinning_prob": lambda d: (by_volume(d).ret == 0).mean(), "raw_vb_ofi_vol": lambda d: safe(by_volume(d).ofi.std()),
@@ -542,6 +583,7 @@ BARS = {
     "raw_dpt_arrhenius_escape_rate": escape, "raw_qit_bremsstrahlung_tick_radiation": radiation, "raw_qit_teleportation_fidelity": twins, "raw_phy_dislocation_glide_climb_bias": glide,
     "raw_phy_neutrino_energy_degradation_regeneration": lambda d: (lambda x: x[1].sum() / (np.abs(x[0]).sum() + 1e-4) * x[3])(path(d)), "raw_phy_tidal_trapping_breakout": trapped, "raw_phy_fractional_charge_excitation": charge,
     "raw_phy_optical_depth_breakthrough": depth, "raw_phy_landau_peierls_quench": quench, "raw_phy_phase_matching_resonance": resonance, "raw_pol_spectral_centroid_shift": centroid,
+    "raw_nld_stochastic_bifurcation_phase": phases, "raw_nld_bimodal_eigen_proj": states,
 }
 
 LOOPS = BARS | {
@@ -562,7 +604,7 @@ def same(got, want) -> bool:
     return got is not None and abs(got - want) <= 2e-6 + 1e-6 * abs(want)
 
 
-@pytest.mark.parametrize("table", dynamics.TABLES + bins.TABLES + bars.TABLES + marks.TABLES, ids=lambda t: t.name)
+@pytest.mark.parametrize("table", dynamics.TABLES + bins.TABLES + bars.TABLES + marks.TABLES + histograms.TABLES, ids=lambda t: t.name)
 def test_against_loops(spark, ticks, table):
     made = table(ticks=spark.createDataFrame(ticks.sample(frac=1, random_state=1))).toPandas().set_index(["StockId", "Date"])
     assert len(made) == 21

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import bars, bins, brokers, columns, crosses, daily, dynamics, ladder, leaders, marks, pairs, paths, quiet, shared, ticks, transforms, wide
+from tidemark.plans import bars, bins, brokers, columns, crosses, daily, dynamics, histograms, inside, ladder, leaders, marks, pairs, paths, quiet, shared, ticks, transforms, wide
 from tidemark.plans.feature import Columns, Feature
 from tidemark.sources.sql import BROKERS, DAILY, QUARTERS, TICKS
 from tidemark.sources.tables import inputs
 
 FEATURES: dict[str, Feature] = {f.name: f for part in (daily, ticks, brokers, crosses, ladder, transforms, dynamics, quiet, leaders, pairs) for f in part.FEATURES}
 
-TABLES: tuple[Columns, ...] = columns.TABLES + wide.TABLES + paths.TABLES + bars.TABLES + dynamics.TABLES + bins.TABLES + marks.TABLES + quiet.TABLES + pairs.TABLES
+TABLES: tuple[Columns, ...] = columns.TABLES + wide.TABLES + paths.TABLES + bars.TABLES + dynamics.TABLES + bins.TABLES + marks.TABLES + histograms.TABLES + quiet.TABLES + pairs.TABLES + inside.TABLES
 
 
 #: The table that has a column; the first that names it.
@@ -41,7 +41,7 @@ def _query(feature: Feature | Columns, quarters: bool = False) -> Callable[[Spar
 #: What needs more ticks a day than a month of the driver's trades has; these run over quarters too.
 LONG_DAYS = [
     "f_be_salience_compression_stealth", "f_gt_trust_rebuilding_delay", "f_gt_uninformed_herding_bias", "f_qm_density_offdiag_relaxation", "f_sindy_residual_asymmetry",
-    *(t.name for t in bars.TABLES + dynamics.TABLES + bins.TABLES + marks.TABLES),
+    *(t.name for t in bars.TABLES + dynamics.TABLES + bins.TABLES + marks.TABLES + histograms.TABLES),
 ]
 
 _ALL = FEATURES | {t.name: t for t in TABLES}

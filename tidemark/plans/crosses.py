@@ -47,8 +47,7 @@ FEATURES = [
         ("x", "sql", "ln(1 + crossings * vol / (abs(close - open) / (open + 0.00000001) + 0.00000001))"), *ROLL42, *c5("z"))),
     cross("f_shifting_habitat_patch_deficit", "the vwap's distance from the open over the volume near the modal price", (
         ("v", f"SELECT StockId, Date, p, sum(q) AS vol FROM t GROUP BY StockId, Date, p"),
-        ("k", "SELECT *, row_number() OVER (PARTITION BY StockId, Date ORDER BY vol DESC, p) AS rank, sum(vol) OVER (PARTITION BY StockId, Date) AS tot FROM v"),
-        ("h", "SELECT k.StockId, k.Date, k.p, k.vol, k.tot, o.p AS modal FROM k JOIN k AS o ON k.StockId = o.StockId AND k.Date = o.Date AND o.rank = 1"),
+        ("h", "SELECT *, first_value(p) OVER (PARTITION BY StockId, Date ORDER BY vol DESC, p) AS modal, sum(vol) OVER (PARTITION BY StockId, Date) AS tot FROM v"),
         ("d", f"SELECT StockId, Date, 1.0 * sum(CASE WHEN p >= modal * 0.995 AND p <= modal * 1.005 THEN vol ELSE 0 END) / max(tot) AS patch, sum(p * vol) / sum(vol) AS vwap FROM h {BY_DAY}"),
         joined("(vwap - open) / nullif(open, 0) / (patch + 0.00000001) AS x")), (*ROLL42, *c5("z"))),
 ]

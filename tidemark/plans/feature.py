@@ -16,6 +16,10 @@ from tidemark.sources.required import REQUIRED, require
 from tidemark.sources.sql import doubles
 
 
+#: Columns whose values may be far beyond a billion: ratios to a price that may be zero.
+WIDE = {"raw_price_range_5d"}
+
+
 def read(what: Feature | Columns, inputs: dict[str, DataFrame]) -> None:
     """Name what a call lacks: tables, and the keys that every table must have."""
     if lacking := [k for k in what.reads if k not in inputs]:
@@ -76,7 +80,7 @@ class Columns:
     def _text(self, other: bool = False) -> str:
         at = -1 if other else 1
         named = ", ".join(f"{q[0]} AS ({q[at]})" for q in self.queries)
-        exprs = ", ".join(f"{c[at]} AS {c[0]}" if c[0] in self.arrays else f"round(CAST({c[at]} AS DOUBLE), 6) + 0.0 AS {c[0]}" for c in self.columns)
+        exprs = ", ".join(f"{c[at]} AS {c[0]}" if c[0] in self.arrays else f"{told(c[at]) if c[0] in WIDE else f'round(CAST({c[at]} AS DOUBLE), 6) + 0.0'} AS {c[0]}" for c in self.columns)
         return f"{named + ' ' if named else ''}SELECT StockId, Date, {exprs} FROM {self.source}{' GROUP BY StockId, Date' if self.grouped else ''}"
 
     def __call__(self, **inputs: DataFrame) -> DataFrame:
@@ -100,6 +104,11 @@ class Columns:
         return made
 
 
+def told(value: str) -> str:
+    """A double to six digits after the point, or as it is where a double has no more than that."""
+    return f"CASE WHEN abs(CAST({value} AS DOUBLE)) < 1000000000 THEN round(CAST({value} AS DOUBLE), 6) ELSE CAST({value} AS DOUBLE) END + 0.0"
+
+
 def as_spark(text: str) -> str:
     return doubles(text).replace(" IGNORE NULLS)", ") IGNORE NULLS").replace("QUANTILE(", "percentile(").replace("DAYS_ORDER", "OVER (PARTITION BY StockId ORDER BY Date)")
 

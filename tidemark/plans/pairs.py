@@ -65,7 +65,7 @@ RETURNS = ("d", f"SELECT StockId, Date, (max_by(p, pos) - min_by(p, pos)) / (min
 
 
 def slopes(name: str, text: str, queries: tuple, reads: tuple[str, ...]) -> list[Feature]:
-    return [Feature(f"t_{name}_slope_{w}d", "transform", f"slope of {text} over the {w} days before", queries, (("s", "rolling_slope", "x", w), ("late", "shift", "s"), ("value", "filled", "late")), reads) for w in (5, 20)]
+    return [Feature(f"raw_{name}_slope_{w}d", "transform", f"slope of {text} over the {w} days before", queries, (("s", "rolling_slope", "x", w), ("late", "shift", "s"), ("value", "filled", "late")), reads) for w in (5, 20)]
 
 
 FEATURES = slopes("top10_net_buy", "leading net buying", (B, LEADERS), ("brokers",)) + slopes("ret", "returns", (RETURNS,), ("ticks",))

@@ -135,7 +135,7 @@ HALF_HOURS = (
     ("s", "SELECT StockId, Date, half, max(n) AS n, count(*) AS k, greatest(0.000000001, least(1 - 0.000000001, avg(CASE WHEN f = 1 THEN 1.0 ELSE 0.0 END))) AS up, sum(p * q) / (sum(q) + 0.000000001) AS vwap FROM h GROUP BY StockId, Date, half"),
     ("w", f"SELECT StockId, Date, {', '.join(f'max(CASE WHEN half = {k} AND k >= 3 AND n >= 20 THEN -(up * ln(up) + (1 - up) * ln(1 - up)) / ln(2.0) END) AS e{k}, max(CASE WHEN half = {k} AND k >= 3 AND n >= 20 THEN vwap END) AS v{k}' for k in range(8))} FROM s {BY_DAY}"),
 )
-SEGMENTS = Columns("raw_segment_columns", "half hours: entropy of buying and vwap", HALF_HOURS, (("raw_tick_segments_entropy", *listed([f"e{k}" for k in range(8)], "true")), ("raw_tick_segments_vwap", *listed([f"v{k}" for k in range(8)], "true"))), "w", ("ticks",), False, ("raw_tick_segments_entropy", "raw_tick_segments_vwap"))
+SEGMENTS = Columns("raw_segment_columns", "half hours: entropy of buying and vwap", HALF_HOURS, (("raw_tick_segments_h", *listed([f"e{k}" for k in range(8)], "true")), ("raw_tick_segments_vwap", *listed([f"v{k}" for k in range(8)], "true"))), "w", ("ticks",), False, ("raw_tick_segments_h", "raw_tick_segments_vwap"))
 
 #: Whether a tick buys, given the one before: what knowing it takes from the entropy, after buys and after others.
 FED = ("fed", f"SELECT StockId, Date, pos, CASE WHEN f = 1 THEN 1 ELSE 0 END AS y, lag(CASE WHEN f = 1 THEN 1 ELSE 0 END) {IN_DAY} AS y1 FROM {{ticks}}")
@@ -151,10 +151,10 @@ AFTER_UP, AFTER_DOWN = (f"CASE WHEN count(CASE WHEN y1 = {k} THEN 1 END) >= 2 TH
 FEEDBACK = Columns("raw_feedback_columns", "how much a tick's side says of the next", (FED,), (("raw_feedback_capacity_skew", f"CASE WHEN count(*) >= 20 THEN ({AFTER_DOWN} - {AFTER_UP}) / ({ALL_UP} + 0.000000001) END"),), "fed")
 
 #: Daily series of the same: smoothed and skewed net buying, change of the vwap.
-RECURSIVE = Feature("t_recursive_mean", "transform", "recursive mean of the larger brokers' net buying", (B, NETS, BINNED, SPREAD), (("value", "ewm_recursive", "x", 5),), ("brokers",))
+RECURSIVE = Feature("raw_ewm_net", "transform", "recursive mean of the larger brokers' net buying", (B, NETS, BINNED, SPREAD), (("value", "ewm_recursive", "x", 5),), ("brokers",))
 RECURSIVE_Z = Feature("t_recursive_zscore", "transform", "distance of the close from its recursive mean in recursive deviations", (("d", "SELECT * FROM {daily}"),), (("m", "ewm_recursive", "close", 20), ("s", "ewm_recursive_std", "close", 20), ("z", "sql", "coalesce((close - m) / nullif(s, 0), 0.0)")), ("daily",))
-SKEW_NET = Feature("t_rolling_skew_net", "transform", "skew of 20 days' net buying of the larger brokers", (B, NETS, BINNED, SPREAD), (("value", "rolling_skew", "x", 20, 10),), ("brokers",))
-SKEW_TICK = Feature("t_rolling_skew_tick", "transform", "skew of 20 days' shares of buying ticks", (TICKED,), (("value", "rolling_skew", "up", 20, 10),))
-DELTA = Feature("t_delta_vwap", "transform", "change of the day's vwap", (("d", f"SELECT StockId, Date, sum(p * q) / sum(q) AS vwap FROM {{ticks}} {BY_DAY}"),), (("value", "pct_change", "vwap"),))
+SKEW_NET = Feature("raw_rolling_skew_net", "transform", "skew of 20 days' net buying of the larger brokers", (B, NETS, BINNED, SPREAD), (("value", "rolling_skew", "x", 20, 10),), ("brokers",))
+SKEW_TICK = Feature("raw_rolling_skew_tick", "transform", "skew of 20 days' shares of buying ticks", (TICKED,), (("value", "rolling_skew", "up", 20, 10),))
+DELTA = Feature("raw_delta_vwap", "transform", "change of the day's vwap", (("d", f"SELECT StockId, Date, sum(p * q) / sum(q) AS vwap FROM {{ticks}} {BY_DAY}"),), (("value", "pct_change", "vwap"),))
 FEATURES += [RECURSIVE, RECURSIVE_Z, SKEW_NET, SKEW_TICK, DELTA]
 TABLES = (REFUGE, SPREADS, SEGMENTS, FEEDBACK)

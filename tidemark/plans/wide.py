@@ -109,14 +109,14 @@ BROKER_MORE = Columns("raw_broker_history_columns", "leading brokers, followers
     ("_loyal_inflow", csum("net > 0.1 * vol", "net")), ("_polarization_index", "CASE WHEN count(*) >= 3 THEN stddev_pop(1.0 * net / nullif(vol, 0)) END"),
     ("raw_bot80_buy_vwap", f"{csum('net > 0 AND vol <= q80', 'pq_buy')} / nullif({csum('net > 0 AND vol <= q80', 'buy')}, 0)"), ("raw_top10_buy_vwap", f"{csum('net > 0 AND vol >= q90_buyers', 'pq_buy')} / nullif({csum('net > 0 AND vol >= q90_buyers', 'buy')}, 0)"),
     ("raw_broker_herding", "abs(2.0 * count(CASE WHEN net > 0 THEN 1 END) / count(*) - 1)"),
-    ("raw_consensus_fracture", f"CASE WHEN max(day) > 1 THEN coalesce(1.0 * least({WITH}, {AGAINST}) / nullif(greatest({WITH}, {AGAINST}), 0), 0.0) END"),
+    ("raw_consensus_fracture", f"CASE WHEN max(day) > 1 AND {N_ACTIVE} > 0 THEN coalesce(1.0 * least({WITH}, {AGAINST}) / nullif(greatest({WITH}, {AGAINST}), 0), 0.0) END"),
     ("raw_qit_topological_volume_defects", share("net > 0 AND (pq_buy - pq_sell) / net < day_pq / day_buy", "vol", "sum(vol)")), ("raw_qit_liquidity_catalysis_ratio", share("abs(net) * 1.0 / vol < 0.05 AND vol > mean_vol", "vol", "sum(vol)")),
     ("raw_qit_dilution_factor_inverse", "sum(1.0 * vol / day_vol * vol / day_vol)"),
     ("raw_net_antiferro_broker_interaction", f"CASE WHEN count(*) >= 10 THEN ({csum('by_net <= 5', 'buy')} / (sum(vol) + 0.0000000001) - {csum('by_net_low <= 5', 'sell')} / (sum(vol) + 0.0000000001)) * {TOPS} / (abs({TOPS}) + abs({LOWS}) + 0.0000000001) END"),
     ("raw_top10_low_buy", csum("by_buy <= 10 AND avg_buy <= vwap", "buy")), ("raw_top10_high_buy", csum("by_buy <= 10 AND avg_buy > vwap", "buy")), ("raw_top10_net_buy", csum("by_buy <= 10", "net")),
     ("raw_infected_net_buy", csum("bought3 = 3", "net")), ("raw_retail_vwap", f"{csum('vol > q80', 'pq_buy')} / ({csum('vol > q80', 'buy')} + 0.00000001)"),
     ("raw_rest_participation", "count(CASE WHEN by_buy > 5 AND buy > 0 THEN 1 END) / (count(*) + 0.00000001)"), ("raw_rest_vwap", f"{csum('by_buy > 1', 'pq_buy')} / ({csum('by_buy > 1', 'buy')} + 0.00000001)"),
-    ("raw_pioneer_buy", csum("avg_buy = top_price", "buy")), ("raw_daily_total_buy", "sum(buy)"), ("raw_price_range_5d", "CASE WHEN min(avg_buy) < 0.001 THEN round(max(avg_buy) / (min(avg_buy) + 0.00000001) - 1, 0) ELSE max(avg_buy) / (min(avg_buy) + 0.00000001) - 1 END"),
+    ("raw_pioneer_buy", csum("avg_buy = top_price", "buy")), ("raw_daily_total_buy", "sum(buy)"), ("raw_price_range_5d", "max(avg_buy) / (min(avg_buy) + 0.00000001) - 1"),
     ("raw_buyer_count", "count(CASE WHEN net > 0 THEN 1 END)"), ("raw_top10_net_sell_qtm", f"abs({csum('by_sell <= 10 AND net < 0', 'net')})"), ("raw_top5_sell", csum("by_sell <= 5", "sell")), ("raw_top5_buy", csum("by_buy <= 5", "buy")),
     ("raw_small_buyers_cnt", "count(CASE WHEN net > 0 AND size_rank <= 0.5 THEN 1 END)"), ("raw_large_sellers_cnt", "count(CASE WHEN net < 0 AND size_rank >= 0.8 THEN 1 END)"),
     ("raw_top10_total_buy", csum("by_vol <= 10", "buy")), ("raw_total_broker_vol", "sum(vol)"), ("raw_top5_net_buy_nlargest", TOPS),
