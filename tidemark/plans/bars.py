@@ -12,9 +12,9 @@ AT = "OVER (PARTITION BY StockId, Date ORDER BY bin)"
 
 def bars(by: str) -> tuple[tuple[str, str], ...]:
     return (
-        ("bins", f"""SELECT StockId, Date, {by} AS bin, max_by(p, pos) AS last, sum(q) AS vol, sum(buy) AS buy, sum(sell) AS sell, sum(p * q) / sum(q) AS mean, 1.0 * (max_by(sec, pos) - min_by(sec, pos)) AS lasted, count(*) AS ticks, max(q) AS most, max(tot) AS tot, max(sum_pq) AS sum_pq
+        ("bins", f"""SELECT StockId, Date, {by} AS bin, max_by(p, pos) AS last, sum(q) AS vol, sum(buy) AS buy, sum(sell) AS sell, sum(p * q) / nullif(sum(q), 0) AS mean, 1.0 * (max_by(sec, pos) - min_by(sec, pos)) AS lasted, count(*) AS ticks, max(q) AS most, max(tot) AS tot, max(sum_pq) AS sum_pq
                  FROM t GROUP BY StockId, Date, {by}"""),
-        ("r", f"SELECT *, coalesce(last / lag(last) {AT} - 1, 0.0) AS ret, last - lag(last) {AT} AS moved, row_number() {AT} - 1 AS i, count(*) OVER {D} AS bars, 1.0 * (buy - sell) AS ofi FROM bins"),
+        ("r", f"SELECT *, coalesce(last / nullif(lag(last) {AT}, 0) - 1, 0.0) AS ret, last - lag(last) {AT} AS moved, row_number() {AT} - 1 AS i, count(*) OVER {D} AS bars, 1.0 * (buy - sell) AS ofi FROM bins"),
     )
 
 

@@ -99,7 +99,7 @@ RESIDUALS = (
 SKEWED = (
     "skewed",
     """SELECT StockId, Date, CASE WHEN n >= 20 THEN CASE WHEN m2 > 0.00000000000001 THEN m3 / power(m2, 1.5) * sqrt(1.0 * c * (c - 1)) / (c - 2) ELSE 0.0 END END AS skew
-       FROM (SELECT *, a.s2 / c - power(a.s1 / c, 2) AS m2, a.s3 / c - 3 * a.s1 / c * a.s2 / c + 2 * power(a.s1 / c, 3) AS m3 FROM (SELECT *, n - 3 AS c FROM residuals) AS counted) AS moments""",
+       FROM (SELECT *, a.s2 / c - power(a.s1 / c, 2) AS m2, a.s3 / c - 3 * a.s1 / c * a.s2 / c + 2 * power(a.s1 / c, 3) AS m3 FROM (SELECT *, nullif(n - 3, 0) AS c FROM residuals) AS counted) AS moments""",
     "SELECT StockId, Date, CASE WHEN n >= 20 THEN CASE WHEN isfinite(skew) THEN skew ELSE 0.0 END END AS skew FROM residuals",
 )
 DRIFTS = (

@@ -54,7 +54,7 @@ HALVES = (
           SELECT *, lag(e) OVER (PARTITION BY StockId, Date ORDER BY pos) AS e1, lag(e, 2) OVER (PARTITION BY StockId, Date ORDER BY pos) AS e2 FROM (SELECT *, {ewm('v', 20)} AS e FROM (SELECT *, cum_pq / (cum_q + 0.0000000001) AS v FROM t WHERE n >= 50) AS own) AS smoothed) AS lagged {BY_DAY}""",
 )
 WHOLE = ("whole", "SELECT *, 0 AS span FROM t")
-BENT = ("j", "SELECT d.StockId, d.Date, d.n, mode2, mode1, first_ / (floor(d.n / 2) - 2) AS first_, second_ / (d.n - floor(d.n / 2)) AS second_ FROM (SELECT DISTINCT StockId, Date, n FROM t) AS d LEFT JOIN modes AS m ON d.StockId = m.StockId AND d.Date = m.Date LEFT JOIN halves AS h ON d.StockId = h.StockId AND d.Date = h.Date")
+BENT = ("j", "SELECT d.StockId, d.Date, d.n, mode2, mode1, first_ / nullif(floor(d.n / 2) - 2, 0) AS first_, second_ / (d.n - floor(d.n / 2)) AS second_ FROM (SELECT DISTINCT StockId, Date, n FROM t) AS d LEFT JOIN modes AS m ON d.StockId = m.StockId AND d.Date = m.Date LEFT JOIN halves AS h ON d.StockId = h.StockId AND d.Date = h.Date")
 DAY_PEAKS = Columns("raw_peak_columns", "two modes of a day's prices along which its vwap bends", (T, WHOLE, *peaks("whole"), HALVES, BENT), (("raw_nld_stochastic_bifurcation_phase", "CASE WHEN n >= 50 THEN coalesce(mode2 * first_ + mode1 * second_, 0.0) ELSE 0.0 END"),), "j", grouped=False)
 
 #: Spans of five minutes from the day's first second, of twenty ticks at least: two states, above and below the middle of the modes.

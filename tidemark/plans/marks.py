@@ -41,7 +41,7 @@ SLOTS = (
 DAY = ("day", f"SELECT StockId, Date, max(n) AS n, max_by(p, pos) AS last, max_by(ref, pos) AS ref, max(tot) AS tot FROM t {BY_DAY}")
 SIZES = ("sizes", f"SELECT StockId, Date, {skewed('q')} AS skew, count(*) AS n FROM (SELECT *, q - avg(1.0 * q) OVER {D} AS q_c FROM t) AS own {BY_DAY}")
 JOINED = "SELECT day.*, barrier, rho, skew, coalesce(a.way, 0) AS wa, coalesce(b.way, 0) AS wb, coalesce(c.way, 0) AS wc FROM day " + " ".join(f"LEFT JOIN {t} AS {n} ON day.StockId = {n}.StockId AND day.Date = {n}.Date" for t, n in (("saddle", "s"), ("spear", "r"), ("sizes", "z"), ("time__s", "a"), ("size__s", "b"), ("tick__s", "c")))
-NEAR = "least((1.1 * ref - last) / last, (last - 0.9 * ref) / last)"
+NEAR = "least((1.1 * ref - last) / nullif(last, 0), (last - 0.9 * ref) / nullif(last, 0))"
 LADDERS = Columns("raw_ladder_shape_columns", "shape of the price ladder and of parts of the day", (T, *LEVELS, *CONFLICT, *SLOTS, DAY, SIZES, ("j", JOINED)), (
     ("raw_att_saddle_point_barrier", "barrier"), ("raw_volume_price_divergence", "rho"), ("raw_trade_skew", "CASE WHEN n >= 5 THEN skew ELSE 0.0 END"), ("raw_contextual_momentum_conflict", "CASE WHEN n >= 30 THEN (3 - abs(wa + wb + wc)) / 2.0 END"),
     ("raw_dpt_arrhenius_escape_rate", f"coalesce(CASE WHEN greatest({NEAR}, 0.0) < 0.015 THEN exp(-greatest({NEAR}, 0.0) * 100 / (tot / 1000.0 + 0.00001)) END, 0.0)"),
@@ -51,7 +51,7 @@ LADDERS = Columns("raw_ladder_shape_columns", "shape of the price ladder and of
 FALLS = (
     ("after", f"SELECT *, count(CASE WHEN q = 1 THEN 1 END) OVER (PARTITION BY StockId, Date ORDER BY sec RANGE BETWEEN 61 FOLLOWING AND 90 FOLLOWING) AS ones, row_number() OVER (PARTITION BY StockId, Date, floor(sec / 60) ORDER BY sec, pos) AS nth, max_by(p, pos) OVER (PARTITION BY StockId, Date, floor(sec / 60)) AS last, min_by(p, pos) OVER (PARTITION BY StockId, Date, floor(sec / 60)) AS first FROM t",
      "SELECT StockId, Date, floor(sec / 60) AS minute, min(sec) AS began, max_by(p, pos) AS last, min_by(p, pos) AS first FROM t GROUP BY StockId, Date, floor(sec / 60)"),
-    ("radiated", f"SELECT StockId, Date, sum(CASE WHEN nth = 1 AND (last - first) / first < -0.003 THEN ones ELSE 0 END) AS ones FROM after {BY_DAY}",
+    ("radiated", f"SELECT StockId, Date, sum(CASE WHEN nth = 1 AND (last - first) / nullif(first, 0) < -0.003 THEN ones ELSE 0 END) AS ones FROM after {BY_DAY}",
      "SELECT a.StockId, a.Date, count(t.pos) AS ones FROM after AS a LEFT JOIN t ON a.StockId = t.StockId AND a.Date = t.Date AND t.q = 1 AND t.sec > a.began + 60 AND t.sec <= a.began + 90 AND (a.last - a.first) / a.first < -0.003 GROUP BY a.StockId, a.Date"),
 )
 #: Returns of the first half hour's minutes against those of the half hour from one o'clock.
@@ -66,7 +66,7 @@ FALLING = Columns("raw_after_fall_columns", "small trades after falls, and minut
 
 #: Ticks with returns on the reference price, sizes on the day's mean, signs, runs at one price, and what was traded at the price before.
 SUMMED = (
-    ("s0", f"SELECT *, coalesce(dp, 0.0) / coalesce(nullif(ref, 0), 1.0) AS tr, q / (avg(1.0 * q) OVER {D}) AS vr, CASE f WHEN 1 THEN 1 WHEN 0 THEN -1 ELSE 0 END AS fs, sum(q) OVER (PARTITION BY StockId, Date, p ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - q AS deep, avg(1.0 * q) OVER {D} AS mean_q, sum(CASE WHEN dp <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY StockId, Date ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM t"),
+    ("s0", f"SELECT *, coalesce(dp, 0.0) / coalesce(nullif(ref, 0), 1.0) AS tr, q / nullif(avg(1.0 * q) OVER {D}, 0) AS vr, CASE f WHEN 1 THEN 1 WHEN 0 THEN -1 ELSE 0 END AS fs, sum(q) OVER (PARTITION BY StockId, Date, p ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - q AS deep, avg(1.0 * q) OVER {D} AS mean_q, sum(CASE WHEN dp <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY StockId, Date ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS block FROM t"),
     ("s1", f"SELECT *, row_number() OVER (PARTITION BY StockId, Date, block ORDER BY pos) AS run, CASE WHEN sign(tr) * lag(sign(tr)) {IN_DAY} < 0 THEN 1.0 ELSE 0.0 END AS turned, max_by(p, pos) OVER {D} AS close, min_by(p, pos) OVER {D} AS open FROM s0"),
     ("s2", "SELECT *, avg(turned) OVER (PARTITION BY StockId, Date ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS turning FROM s1"),
 )
@@ -75,7 +75,7 @@ GAIN = "(max(close) - max(open)) / (coalesce(nullif(max(open), 0), 1.0) + 0.0000
 SUMS = Columns("raw_sum_columns", "sums of scaled returns, sizes and signs along a day", (T, *SUMMED), (
     ("raw_phy_dislocation_glide_climb_bias", f"ln({RESIST['down']} / {RESIST['up']})"), ("raw_phy_neutrino_energy_degradation_regeneration", f"sum(vr) / (sum(abs(tr)) + 0.0001) * {GAIN}"),
     ("raw_phy_tidal_trapping_breakout", f"sum(vr / (abs(p - vwap) / coalesce(nullif(ref, 0), 1.0) + 0.001)) * {GAIN}"), ("raw_phy_fractional_charge_excitation", "sum(vr * run / n * fs)"),
-    ("raw_phy_optical_depth_breakthrough", "sum(deep / mean_q * tr)"), ("raw_phy_landau_peierls_quench", "sum(turning * vr * fs)"),
+    ("raw_phy_optical_depth_breakthrough", "sum(deep / nullif(mean_q, 0) * tr)"), ("raw_phy_landau_peierls_quench", "sum(turning * vr * fs)"),
 ), "s2")
 ECHO = (
     ("net", "SELECT StockId, Date, floor(sec / 60) AS minute, 1.0 * sum(buy - sell) AS net, sum(q) AS vol FROM t GROUP BY StockId, Date, floor(sec / 60)"),
