@@ -38,9 +38,13 @@ def test_against_sql(tables, duck, name):
 @pytest.mark.parametrize("name", [t.name for t in catalogue.TABLES])
 def test_tables_against_sql(tables, duck, name):
     table = next(t for t in catalogue.TABLES if t.name == name)
-    got, want = table(**tables).toPandas(), duck.sql(catalogue.ORACLES[name]).df()
-    assert len({c for c, _ in table.columns}) == len(table.columns) and list(got.columns) == ["StockId", "Date", *(c for c, _ in table.columns)]
-    for c, _ in table.columns:
+    got, want = table.told(**tables).toPandas(), duck.sql(catalogue.ORACLES[name]).df()
+    assert len({c for c, *_ in table.columns}) == len(table.columns) and list(got.columns) == ["StockId", "Date", *(c for c, *_ in table.columns)]
+    for c, *_ in table.columns:
+        if c in table.arrays:  # texts of whole millionths
+            texts = [df[["StockId", "Date", c]].fillna("none").sort_values(["StockId", "Date"]).values.tolist() for df in (got, want)]
+            assert texts[0] == texts[1], c
+            continue
         both = zip(rows(got, c), rows(want, c), strict=True)
         assert all(g[:2] == w[:2] and (g[2] is None) == (w[2] is None) and (g[2] is None or abs(g[2] - w[2]) <= 2e-5 * max(1, abs(w[2]))) for g, w in both), c
 
