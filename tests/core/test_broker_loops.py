@@ -292,3 +292,33 @@ def test_ticks_with_daily_bars(spark, tables):
     for c in frame:
         got = made[c].reindex(frame.index)
         assert np.allclose(got, frame[c].astype(float), rtol=1e-6, atol=2e-5) and frame[c].nunique() > 2, c
+
+
+def test_two_sequences(spark, tables):
+    brokers, ticks = tables
+    made = {(r.StockId, r.Date): r for r in quiet.BINARY(brokers=spark.createDataFrame(brokers), ticks=spark.createDataFrame(ticks)).collect()}
+    seen = []
+    for stock in "AB":
+        rows = [(date, spread_of(d)) for date, d in brokers[brokers.StockId == stock].groupby("Date") if d[["BuyQtm", "SellQtm"]].to_numpy().sum() > 0]
+        xs, up = [r["x"] for _, r in rows], [(ticks[(ticks.StockId == stock) & (ticks.Date == date)].f == 1).mean() for date, _ in rows]
+        for i, (date, _) in enumerate(rows):
+            got = made[stock, date]
+            if i < 20:
+                assert got.raw_phi_20d is got.raw_di_up is got.raw_di_down is got.raw_logloss_gain is None
+                continue
+            b, y = np.array([int(x > 0) for x in xs[i - 20 : i]]), np.array([int(x > 0.5) for x in up[i - 20 : i]])
+            phi = np.corrcoef(b, y)[0, 1] if b.std() and y.std() else 0.0
+            full, base = np.full((2, 2, 2), 1e-3), np.full((2, 2), 1e-3)
+            for t in range(1, 20):
+                full[b[t - 1], y[t - 1], y[t]] += 1
+                base[y[t - 1], y[t]] += 1
+            full, base = full / full.sum(axis=2, keepdims=True), base / base.sum(axis=1, keepdims=True)
+            gains = {k: [np.log(full[b[t - 1], y[t - 1], k] / base[y[t - 1], k]) for t in range(1, 20) if y[t] == k] for k in (1, 0)}
+            e, p = 0.01 / 19, y[1:].mean()
+            share = lambda v, k: np.clip(((y[1:][b[:-1] == v] == k).sum() + 5 * e) / ((b[:-1] == v).sum() + 10 * e), e, 1 - e) if (b[:-1] == v).any() else 0.5
+            loss = np.log(share(1, 1) / np.clip(p, e, 1 - e)) - np.log(share(0, 0) / (1 - p)) if p < 1 else None
+            want = [phi, sum(gains[1]) / max(len(gains[1]), 1), sum(gains[0]) / max(len(gains[0]), 1), loss]
+            mine = [got.raw_phi_20d, got.raw_di_up, got.raw_di_down, got.raw_logloss_gain]
+            assert all(m is None if w is None else abs(m - w) < 2e-6 for m, w in zip(mine, want)), (mine, want)
+            seen.append(tuple(mine))
+    assert all(len(set(c)) > 5 for c in zip(*seen))

@@ -157,4 +157,34 @@ SKEW_NET = Feature("raw_rolling_skew_net", "transform", "skew of 20 days' net bu
 SKEW_TICK = Feature("raw_rolling_skew_tick", "transform", "skew of 20 days' shares of buying ticks", (TICKED,), (("value", "rolling_skew", "up", 20, 10),))
 DELTA = Feature("raw_delta_vwap", "transform", "change of the day's vwap", (("d", f"SELECT StockId, Date, sum(p * q) / sum(q) AS vwap FROM {{ticks}} {BY_DAY}"),), (("value", "pct_change", "vwap"),))
 FEATURES += [RECURSIVE, RECURSIVE_Z, SKEW_NET, SKEW_TICK, DELTA]
-TABLES = (REFUGE, SPREADS, SEGMENTS, FEEDBACK)
+#: The 20 days before as two sequences, net bought and rose: counts of both together, and of a day's rise after each pair of the day before.
+SEQUENCES = (
+    "seq",
+    "SELECT StockId, Date, day, bought20, " + ", ".join(f"count(CASE WHEN bought = {b} AND rose = {y} THEN 1 END) OVER p20 AS n{b}{y}" for b in (0, 1) for y in (0, 1)) + ", " + ", ".join(f"c{b}{y}{z}" for b in (0, 1) for y in (0, 1) for z in (0, 1))
+    + f" FROM frames WINDOW p20 AS ({S} {PAST20})",
+)
+
+
+def split(z: int) -> str:
+    """Of the days that rose (or not): what yesterday's net buying says beyond yesterday's ticks, by day."""
+    parts = []
+    for y in (0, 1):
+        alone = f"((c0{y}{z} + c1{y}{z} + 0.001) / (c0{y}0 + c0{y}1 + c1{y}0 + c1{y}1 + 0.002))"
+        parts += [f"c{b}{y}{z} * ln((c{b}{y}{z} + 0.001) / (c{b}{y}0 + c{b}{y}1 + 0.002) / {alone})" for b in (0, 1)]
+    return f"CASE WHEN day >= 20 THEN ({' + '.join(parts)}) / greatest({' + '.join(f'c{b}{y}{z}' for b in (0, 1) for y in (0, 1))}, 1) END"
+
+
+def after(b: int, z: int) -> str:
+    """The share of days that rose (or not) after net bought days (or others), of 19."""
+    seen, hit = (" + ".join(f"c{b}{y}{k}" for y in (0, 1) for k in ks) for ks in ((0, 1), (z,)))
+    return f"CASE WHEN {seen} = 0 THEN 0.5 ELSE greatest({EPS19!r}, least({1 - EPS19!r}, ({hit} + {5 * EPS19!r}) / ({seen} + {10 * EPS19!r}))) END"
+
+
+EPS19 = 0.01 / 19
+UP = " + ".join(f"c{b}{y}1" for b in (0, 1) for y in (0, 1))
+PHI = "((n10 + n11) * (n00 + n01) * 1.0 * (n01 + n11) * (n00 + n10))"
+BINARY = Columns("raw_binary_columns", "how net buying and rising ticks of 20 days go together", (B, NETS, BINNED, SPREAD, TICKED, DAYS, BEFORE, HELD, SEQUENCES), (
+    ("raw_phi_20d", f"CASE WHEN day >= 20 THEN coalesce((n11 * n00 - n10 * n01) / nullif(sqrt({PHI}), 0), 0.0) END"), ("raw_di_up", split(1)), ("raw_di_down", split(0)),
+    ("raw_logloss_gain", f"CASE WHEN day >= 20 THEN ln({after(1, 1)}) - ln(greatest({EPS19!r}, least({1 - EPS19!r}, ({UP}) / 19.0))) - ln({after(0, 0)}) + ln(nullif(19.0 - ({UP}), 0) / 19.0) END"),
+), "seq", ("brokers", "ticks"), False)
+TABLES = (REFUGE, SPREADS, SEGMENTS, FEEDBACK, BINARY)
