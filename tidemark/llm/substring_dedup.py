@@ -104,7 +104,9 @@ def _later(hashes: np.ndarray, checks: np.ndarray, ids: np.ndarray, ties: np.nda
         return out
     met = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
     met = met[np.lexsort((starts[met], ties[met], ids[met], checks[met], hashes[met]))]
-    out[met[1:]] = (hashes[met[1:]] == hashes[met[:-1]]) & (checks[met[1:]] == checks[met[:-1]])
+    again = np.concatenate(([False], (hashes[met[1:]] == hashes[met[:-1]]) & (checks[met[1:]] == checks[met[:-1]])))
+    first = met[np.maximum.accumulate(np.where(again, 0, np.arange(len(met))))]  # of the windows equal to each
+    out[met] = (ids[met] != ids[first]) | (ties[met] != ties[first]) | (starts[met] != starts[first])  # a repeated row is the same place
     return out
 
 
