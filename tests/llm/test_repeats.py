@@ -48,7 +48,10 @@ def in_order(rows: list) -> dict:
     return dict(convs)
 
 
-def test_trie_of_random_conversations(spark):
+def test_trie_of_random_conversations(spark, monkeypatch):
+    """Random ones, copies, chains on chains (each is the one before with a turn more, or branches off its end), and a node at
+    which many end, whose ids are hashed in pieces."""
+    monkeypatch.setattr(prefix_trie, "PIECE", 50)
     rng, rows = random.Random(11), []
     for c in range(60):
         length = rng.choice([1, 2, 3, 8, 9, 16, 17, 40])
@@ -57,16 +60,12 @@ def test_trie_of_random_conversations(spark):
     for c in range(60, 75):  # a group of copies, and one that goes on
         rows += [(c, t, "user", f"same {t}") for t in range(10 if c < 74 else 30)]
     rows += [(None, 0, "user", "nobody"), (200, 0, None, None), (201, None, "a", ""), (201, 4, "b", "x"), (-3, 1, "user", "é")]
+    rows += [(300 + c, t, "v", f"{t}") for c in range(12) for t in range(c + 1)] + [(400 + c, t, "v", f"{t}" if t < c else f"{c} {t}") for c in range(12) for t in range(c + 3)]
+    rows += [(1000 + c, 0, "u", "many") for c in range(300)]
     rng.shuffle(rows)
     assert got(prefix_trie.prefix_trie(spark.createDataFrame(rows, TURNS).repartition(5))) == nodes(in_order(rows))
 
 
-def test_chains_on_chains(spark):
-    """Each conversation is the one before with one turn more, or branches off its end: chains hang on chains."""
-    rows = [(c, t, "u", f"{t}") for c in range(12) for t in range(c + 1)] + [(100 + c, t, "u", f"{t}" if t < c else f"{c} {t}") for c in range(12) for t in range(c + 3)]
-    assert got(prefix_trie.prefix_trie(spark.createDataFrame(rows, TURNS))) == nodes(in_order(rows))
-
-
 def test_trie_of_tied_and_repeated_turns_has_one_result(spark):
     rows = [(c, 0, "u", t) for c in (1, 2, 3) for t in ("b", "a", "a")]
     made = [got(prefix_trie.prefix_trie(spark.createDataFrame(r, TURNS).repartition(n))) for r, n in ((rows, 1), (rows[::-1], 3))]
@@ -92,12 +91,6 @@ def test_rebuilt_conversations(spark):
     assert got(made) == nodes(want)
 
 
-def test_a_node_with_many_ends_is_hashed_in_pieces(spark, monkeypatch):
-    monkeypatch.setattr(prefix_trie, "PIECE", 50)
-    rows = [(c, 0, "u", "same") for c in range(500)]
-    assert got(prefix_trie.prefix_trie(spark.createDataFrame(rows, TURNS))) == nodes(in_order(rows))
-
-
 # --- 12
 
 
