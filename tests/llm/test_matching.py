@@ -86,6 +86,19 @@ def test_jaccard_components(spark, monkeypatch, crowded, block, settled):
     assert got == brute_components(rows)
 
 
+def test_parities_bound_what_two_sets_have_apart():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        pool = rng.integers(0, 2**63, int(rng.integers(1, 900)), dtype=np.uint64)
+        x, y = (np.unique(pool[rng.random(len(pool)) < p]) for p in rng.random(2))
+        apart = len(np.setxor1d(x, y))
+        found = jaccard_join.apart(jaccard_join.parities(x), jaccard_join.parities(y))
+        assert found == jaccard_join.apart(jaccard_join.parities(y), jaccard_join.parities(x)) <= apart
+    for n in (50, 300, 5000):  # unrelated sets of one size are told apart
+        x, y = (jaccard_join.parities(rng.integers(0, 2**63, n, dtype=np.uint64)) for _ in range(2))
+        assert jaccard_join.apart(x, y) > n / 2 and jaccard_join.apart(x, x) == 0
+
+
 def test_windows_lose_nothing():
     for n in range(1, 400):
         k = int(jaccard_join.window(np.array([n]))[0])
