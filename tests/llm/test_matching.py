@@ -191,3 +191,24 @@ def test_personal_data(spark):
 ])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_jaccard_links_between_members_of_different_pivots(spark, monkeypatch):
+    """Texts that each differ by a few words from an earlier one: chains of links through divided regions."""
+    for name, value in (("CROWDED", 8), ("ALL", 8), ("PIVOTS", (6, 96))):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng, texts = random.Random(1), [[f"w{k}" for k in range(100)]]
+    while len(texts) < 60:
+        text = list(rng.choice(texts))
+        for at in rng.sample(range(100), rng.choice((2, 2, 3))):
+            text[at] = f"x{rng.random()}"
+        texts.append(text)
+    sets = [{tuple(t[k : k + 4]) for k in range(97)} for t in texts]
+    root = list(range(len(sets)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard_join.join(df).collect()} == dict(enumerate(root))

@@ -8,10 +8,9 @@ window would hold everything.) In the order, shingles that many classes have com
 
 Regions with many classes hold texts that are alike, where distances tell something, and are divided recursively: some
 members become document pivots, the distances of all members to them are measured, and members within the threshold are
-linked to their pivot. A member that is linked to a pivot has met all others that are linked to it; what is left to meet
-are the members beyond, which belong to the Voronoi cell of their nearest pivot. Others are replicated into a cell if the
-triangle inequality lets them link with one of its members. Cells are divided again until they are small; pivots, which
-have met all others, leave. Each level takes more pivots than the last one, so the recursion ends.
+linked to their pivot. Members that these links have joined need not meet; members of different pivots still must. Each
+belongs to the Voronoi cell of its nearest pivot. Others are replicated into a cell if the triangle inequality lets them
+link with one of its members. Cells are divided again until they are small; pivots, which have met all others, leave. Each level takes more pivots than the last one, so the recursion ends.
 """
 
 from __future__ import annotations
@@ -361,11 +360,10 @@ def _forest(a: np.ndarray, b: np.ndarray, size: int) -> tuple[np.ndarray, np.nda
 
 
 def measure(live: DataFrame, chosen: DataFrame, sets: DataFrame, rule: Rule) -> DataFrame:
-    """(plan, rep, near, core, d) and, in rows without a rep, links (a, b).
+    """(plan, rep, near, d) and, in rows without a rep, links (a, b).
 
     live: (plan, rep, n), the members of regions with the same pivots; chosen: (plan, settled, k, rep), the pivots. d has
-    the distances to all pivots, near the place of the nearest one, core tells that it is within the threshold; settled
-    plans give links only. What leaves a task of links is a forest. A task measures members of at most about BLOCK
+    the distances to all pivots, near the place of the nearest one; settled plans give links only. What leaves a task of links is a forest. A task measures members of at most about BLOCK
     shingles, so regions may have any size.
     """
     members = stored(live.select("plan", "rep", "n").distinct(), "members")
@@ -374,7 +372,7 @@ def measure(live: DataFrame, chosen: DataFrame, sets: DataFrame, rule: Rule) ->
     right = chosen.join(sets, "rep").join(salts, "plan").select("plan", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "settled", "k", F.col("rep").alias("pivot"), F.col("set").alias("shingles"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("plan", pa.int64()), ("rep", pa.int64()), ("near", pa.int32()), ("core", pa.bool_()), ("d", pa.list_(pa.float32())), ("a", pa.int64()), ("b", pa.int64())])
+        schema = pa.schema([("plan", pa.int64()), ("rep", pa.int64()), ("near", pa.int32()), ("d", pa.list_(pa.float32())), ("a", pa.int64()), ("b", pa.int64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         by_place = {k: (r, s) for k, r, s in zip(*(right[c].to_pylist() for c in ("k", "pivot", "shingles")))}
@@ -390,17 +388,17 @@ def measure(live: DataFrame, chosen: DataFrame, sets: DataFrame, rule: Rule) ->
         both = np.r_[pivot, rep]
         a, b = _forest(k, len(pivot) + who, len(both))
         plan, no = left["plan"][0].as_py(), lambda t, k: pa.nulls(k, t)
-        links = pa.Table.from_arrays([pa.array(np.full(len(a), plan)), *(no(f.type, len(a)) for f in list(schema)[1:5]), pa.array(both[a]), pa.array(both[b])], schema=schema)
+        links = pa.Table.from_arrays([pa.array(np.full(len(a), plan)), *(no(f.type, len(a)) for f in list(schema)[1:4]), pa.array(both[a]), pa.array(both[b])], schema=schema)
         freed()
         if right["settled"][0].as_py():
             return links
         d = (1 - common / union).astype(np.float32)
         near = d.argmin(axis=1)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rep) + 1) * len(pivot), pa.int32()), pa.array(d.ravel()))
-        rows = [*map(pa.array, (np.full(len(rep), plan), rep, near.astype(np.int32), link[np.arange(len(rep)), near])), lists, no(pa.int64(), len(rep)), no(pa.int64(), len(rep))]
+        rows = [*map(pa.array, (np.full(len(rep), plan), rep, near.astype(np.int32))), lists, no(pa.int64(), len(rep)), no(pa.int64(), len(rep))]
         return pa.concat_tables([pa.Table.from_arrays(rows, schema=schema), links])
 
-    out = left.groupBy("plan", "salt").cogroup(right.groupBy("plan", "salt")).applyInArrow(meet, "plan long, rep long, near int, core boolean, d array<float>, a long, b long")
+    out = left.groupBy("plan", "salt").cogroup(right.groupBy("plan", "salt")).applyInArrow(meet, "plan long, rep long, near int, d array<float>, a long, b long")
     return stored(out, "distances")
 
 
@@ -409,13 +407,16 @@ def divide(crowd: DataFrame, sets: DataFrame, rule: Rule) -> tuple[list[DataFram
 
     crowd: (region, rep, n, pos, prev, rare) of crowded regions. With the links, and the links of pairs that meet in the
     small regions, the components are those of all links. A row is at home in its region if it still has others to meet
-    there; the rest are there to be met.
+    there; the rest are there to be met. Pairs that the links found so far have joined need not meet. So the rows of a
+    region's largest joined group may all be away from home if all others, also those that came to be met, then are at
+    home: only such a change of places loses no pair.
     """
     # Members with the same pivot before this one have met in its region: the most of those need not meet here.
     before = crowd.filter("pos > 0").groupBy("region", "prev").count().groupBy("region").agg(F.max(F.struct("count", "prev"))["prev"].alias("most"))
     home = F.coalesce((F.col("pos") == 0) | (F.col("prev") != F.col("most")), F.lit(True))
     live = stored(crowd.join(before, "region", "left").select(*crowd.columns, home.alias("home"), F.lit(0.0).cast("float").alias("dist")), "live")
     links, small, level = [], [], 0
+    joined = crowd.sparkSession.createDataFrame([], "a long, b long")
     while True:
         sizes = live.groupBy("region").agg(F.count("*").alias("rows"), F.count_if("home").alias("homes")).filter("homes > 0")
         sizes = stored(sizes.select("region", F.when(F.col("rows") <= CROWDED, 0).when(F.col("homes") <= ALL, 1).otherwise(2).alias("how")), "sizes")
@@ -438,9 +439,16 @@ def divide(crowd: DataFrame, sets: DataFrame, rule: Rule) -> tuple[list[DataFram
         links.append(found.filter("rep is null").select("a", "b"))
         if 2 not in kinds:
             return links, small
-        at = live.filter("how = 2").join(found.filter("rep is not null").select("plan", "rep", "near", "core", "d"), ["plan", "rep"])
+        joined = stored(components(joined.unionByName(links[-1])), "joined")
+        at = live.filter("how = 2").join(found.filter("rep is not null").select("plan", "rep", "near", "d"), ["plan", "rep"])
         at = at.withColumn("least", F.element_at("d", F.col("near") + 1)).filter("least > 0")  # pivots have met all
-        at = stored(at.withColumn("home", F.col("home") & ~F.col("core")).withColumn("cell", F.when(F.col("least") > FAR, -1).otherwise(F.col("near"))), "measured")
+        at = stored(_near(at, joined.select(F.col("node").alias("rep"), F.col("root").alias("group")), "rep", "left"), "measured")
+        groups = at.groupBy("region", "group").agg(F.count("*").alias("rows"), F.count_if("home").alias("homes"))
+        groups = groups.groupBy("region").agg(F.sum("rows").alias("rows"), F.sum("homes").alias("homes"), F.max(F.when(F.col("group").isNotNull(), F.struct("rows", "group"))).alias("most"))
+        groups = groups.filter("most.rows > rows - homes").select("region", F.col("most.group").alias("most"))  # fewer rows are at home then
+        at = at.join(groups, "region", "left").withColumn("home", F.when(F.col("most").isNull(), F.col("home")).otherwise(~F.col("group").eqNullSafe(F.col("most"))))
+        at = stored(at.drop("group", "most").withColumn("cell", F.when(F.col("least") > FAR, -1).otherwise(F.col("near"))), "measured")
+        joined = joined.select(F.col("node").alias("a"), F.col("root").alias("b"))
         cells = at.filter("home").groupBy("region", "cell").agg(F.min("least").alias("low"), F.max("least").alias("high"))
         cells = cells.groupBy("region").agg(F.collect_list(F.struct("cell", "low", "high")).alias("cells"))  # one a pivot at most
         reach, to = rule.radius + SLACK, lambda c: F.element_at("d", c["cell"] + 1)
