@@ -9,7 +9,7 @@ import pytest
 
 from tests.core.test_loops import ticks_of
 from tidemark.plans import catalogue, shared
-from tidemark.sources import market
+from tidemark.sources import market, tables
 from tidemark.sources.tables import inputs, repeated_keys
 
 TEN = [
@@ -89,3 +89,14 @@ def test_vendor_daily_bars_and_fills(spark):
 def test_first_of_a_key(spark):
     rows = spark.createDataFrame([("a", 1, 3, "x"), ("a", 1, 2, "y"), ("a", 2, 1, "z"), ("a", 1, 2, "b")], "StockId string, Date int, n int, t string")
     assert sorted((r.Date, r.n, r.t) for r in market.first_of_key(rows, ["t"], ["n"]).collect()) == [(1, 2, "b"), (2, 1, "z")]
+
+
+def test_tasks_grow_in_number_with_the_ticks(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_TICKS", 500)
+    small = inputs(spark, "/root/testdata/sf0.001")
+    parts = -(-spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count() // 500)
+    assert parts > spark.sparkContext.defaultParallelism
+    text = plan(catalogue.FEATURES["f_newcomer_net_momentum"](**small))  # broker days are dealt once, as ticks
+    assert re.findall(r"Exchange hashpartitioning\(StockId#\d+, Date#\d+L?, (\d+)\)", text) == [str(parts)]
+    text = plan(catalogue.FEATURES["f_gt_expert_vs_popular_divergence"](**small))  # and by stock before they become many
+    assert re.search(rf"Exchange hashpartitioning\(StockId#\d+, {4 * parts}\), REPARTITION_BY_NUM", text)

@@ -36,7 +36,9 @@ AVALANCHE = (
 )
 
 #: A broker's days, each going on until its next one or for 60 days: its volume of 5 days and net buying of 60 by running frames.
-NUMBERED = ("numbered", "SELECT StockId, Date, BrokerId, net, vol, dense_rank() OVER (PARTITION BY StockId ORDER BY Date) AS day FROM b")
+#: Dealt by stock once, before its rows become many more: all later windows are of a stock's rows.
+NUMBERED = ("numbered", "SELECT StockId, Date, BrokerId, net, vol, dense_rank() OVER (PARTITION BY StockId ORDER BY Date) AS day FROM (SELECT /*+ REPARTITION({parts}, StockId) */ StockId, Date, BrokerId, net, vol FROM b) AS dealt",
+            "SELECT StockId, Date, BrokerId, net, vol, dense_rank() OVER (PARTITION BY StockId ORDER BY Date) AS day FROM b")
 SPANS = ("spans", """SELECT *, max(day) OVER (PARTITION BY StockId) AS last_day, lead(day) OVER (PARTITION BY StockId, BrokerId ORDER BY day) - 1 AS next_day, CASE WHEN day = min(day) OVER (PARTITION BY StockId, BrokerId) THEN 1 ELSE 0 END AS begins FROM numbered""")
 EVER = ("ever", "SELECT *, least(coalesce(next_day, last_day), day + 59, last_day) AS until, sum(begins) OVER (PARTITION BY StockId) AS brokers_ FROM spans")
 PANEL = ("panel", "SELECT StockId, Date, BrokerId, day, upon, brokers_, CASE WHEN upon = day THEN net ELSE 0 END AS net, CASE WHEN upon = day THEN vol ELSE 0 END AS vol FROM (SELECT *, explode(sequence(day, until)) AS upon FROM ever) AS long",

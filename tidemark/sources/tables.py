@@ -25,11 +25,24 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.repartition("Date", "StockId").write.mode("overwrite").partitionBy("Date").parquet(path)
 
 
+#: Ticks of a task: a stage sorts its rows several times and holds each sort in memory, so their number must not grow with the table.
+TASK_TICKS = 125_000
+
+
+def dealt(text: str, parts: int) -> str:
+    """The ticks' SQL with its trades dealt by stock and day to so many tasks, the key of all windows and groupings of a day."""
+    return text.replace("FROM (SELECT concat(", f"FROM (SELECT /*+ REPARTITION({parts}, StockId, Date) */ concat(", 1)
+
+
 def inputs(spark: SparkSession, sf_dir: str, quarters: bool = False) -> dict[str, DataFrame]:
     """{'ticks', 'daily', 'brokers'} made from the driver's lineitem table; a day has a month's trades, or a quarter's."""
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    ticks = spark.sql(QUARTERS if quarters else TICKS, lineitem=lineitem)
-    return {"ticks": ticks, "daily": spark.sql(DAILY, ticks=ticks), "brokers": spark.sql(BROKERS, ticks=ticks)}
+    parts = max(spark.sparkContext.defaultParallelism, -(-lineitem.count() // TASK_TICKS))
+    ticks = spark.sql(dealt(QUARTERS if quarters else TICKS, parts), lineitem=lineitem)
+    made = {"ticks": ticks, "daily": spark.sql(DAILY, ticks=ticks), "brokers": spark.sql(BROKERS, ticks=ticks)}
+    for df in made.values():
+        df._tidemark_parts = parts
+    return made
 
 
 def repeated_keys(df: DataFrame) -> DataFrame:
