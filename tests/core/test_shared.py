@@ -3,6 +3,7 @@
 import datetime
 import re
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -100,3 +101,30 @@ def test_tasks_grow_in_number_with_the_ticks(spark, monkeypatch):
     assert re.findall(r"Exchange hashpartitioning\(StockId#\d+, Date#\d+L?, (\d+)\)", text) == [str(parts)]
     text = plan(catalogue.FEATURES["f_gt_expert_vs_popular_divergence"](**small))  # and by stock before they become many
     assert re.search(rf"Exchange hashpartitioning\(StockId#\d+, {4 * parts}\), REPARTITION_BY_NUM", text)
+
+
+def test_paths_of_ticks_pass_a_day_few_times_and_count_seconds_where_they_are(spark):
+    """Distinct counts wrote every tick three times and summed 120 columns by second; windows of one order stood apart."""
+    text = plan(catalogue.QUERIES["raw_tick_path_columns"](spark, "/root/testdata/sf0.001"))
+    assert "Expand" not in text and text.count("Window [") <= 8 and text.count("Sort [") <= 9
+    assert not re.search(r"groupBy.*distinct|keys=\[[^]]*sec#", plan(catalogue.QUERIES["raw_minute_path_columns"](spark, "/root/testdata/sf0.001")))
+
+
+@pytest.mark.parametrize("name", ["raw_tick_path_columns", "raw_minute_path_columns"])
+def test_seconds_with_many_ticks_out_of_order_agree_with_sql(spark, name):
+    """Seconds that hold several ticks, at equal and other prices, in days whose order is not that of seconds; ticks of a day also without one."""
+    rng = np.random.default_rng(5)
+    made = ticks_of(9)
+    made["sec"] = 32400 + rng.integers(0, 40, len(made)) * 97 % 16200 + (rng.random(len(made)) < 0.3) * 12600.0
+    made["p"] = np.where(made.sec % 2 == 0, 50.0, made.p)
+    made["total_qty"], made["broker"], made["mix"] = made.groupby(["StockId", "Date"]).q.cumsum(), "B1", 0
+    if name == "raw_tick_path_columns":  # a minute without seconds has no share a second in the SQL either
+        made.loc[rng.random(len(made)) < 0.02, "sec"] = np.nan
+    ours = spark.createDataFrame(made.astype({"sec": object}).where(made.notna(), None), "StockId string, Date long, sec double, p double, q long, f int, bid double, ask double, ref double, pos long, total_qty long, broker string, mix long")
+    table, con = catalogue._ALL[name], duckdb.connect()
+    con.register("made", made)
+    got = table(ticks=ours).toPandas().sort_values(["StockId", "Date"]).reset_index(drop=True)
+    want = con.sql(table.sql({"ticks": "SELECT * FROM made"})).df().sort_values(["StockId", "Date"]).reset_index(drop=True)
+    for c in got.columns[2:]:
+        assert np.allclose(got[c].astype(float), want[c].astype(float), equal_nan=True, atol=1e-5), c
+    assert len(got) == 33 and (name != "raw_tick_path_columns" or got.raw_qit_quantum_zeno_freezing.between(0.01, 0.99).any())

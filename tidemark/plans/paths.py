@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tidemark.plans.columns import V, csum, ratio
 from tidemark.plans.feature import Columns
-from tidemark.plans.ticks import BY_DAY, IN_DAY, T
+from tidemark.plans.ticks import BY_DAY, IN_DAY, WHOLE_DAY, T
 from tidemark.plans.wide import D, over, slope
 
 
@@ -23,16 +23,47 @@ def slots(width: int, count: int, what: str) -> list[str]:
 
 
 #: Ticks with gaps, running deviations, runs of buying that does not fall, and what came within the next minute.
-X = (
-    "x",
-    f"""SELECT *, sec - lag(sec) {IN_DAY} AS gap, abs(dp) / (pp + 0.0000000001) AS ar, cum_pq / cum_q AS rv, lag(cum_pq / cum_q) {IN_DAY} AS rv1, min(sec) OVER {D} AS t0, max(sec) OVER {D} AS t1, QUANTILE(q, 0.95) OVER {D} AS q95, QUANTILE(q, 0.9) OVER {D} AS q90,
+X_SQL = f"""SELECT *, sec - lag(sec) {IN_DAY} AS gap, abs(dp) / (pp + 0.0000000001) AS ar, cum_pq / cum_q AS rv, lag(cum_pq / cum_q) {IN_DAY} AS rv1, min(sec) OVER {D} AS t0, max(sec) OVER {D} AS t1, QUANTILE(q, 0.95) OVER {D} AS q95, QUANTILE(q, 0.9) OVER {D} AS q90,
        first_value(p) {IN_DAY} AS open, avg(1.0 * q) OVER {D} AS mean_q, buy - sell AS nf, sum(buy - sell) OVER (PARTITION BY StockId, Date ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ofi,
        max_by(p, pos) OVER (PARTITION BY StockId, Date ORDER BY sec RANGE BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS later, CASE WHEN f = 1 AND dp >= 0 THEN 1 ELSE 0 END AS push, CASE WHEN f = 1 AND coalesce(dp, 0) >= 0 THEN 1 ELSE 0 END AS push0,
        count(*) OVER (PARTITION BY StockId, Date, sec) AS in_second, max(p) OVER (PARTITION BY StockId, Date, sec) - min(p) OVER (PARTITION BY StockId, Date, sec) AS second_range, sum(q) OVER (PARTITION BY StockId, Date, p) AS at_price,
+       CASE WHEN f = 1 AND sec <= 36000 THEN 1 WHEN f = 1 AND sec >= 45000 THEN 2 ELSE 0 END AS part, CASE WHEN pp < 10 THEN 0.01 WHEN pp < 50 THEN 0.05 WHEN pp < 100 THEN 0.1 WHEN pp < 500 THEN 0.5 WHEN pp < 1000 THEN 1.0 ELSE 5.0 END AS step FROM t"""
+SO_FAR = "OVER (PARTITION BY StockId, Date ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+PUSH, PUSH0 = "CASE WHEN f = 1 AND dp >= 0 THEN 1 ELSE 0 END", "CASE WHEN f = 1 AND coalesce(dp, 0) >= 0 THEN 1 ELSE 0 END"
+#: For Spark, what has one order shares one pass: first all along the day, then by second, by part and by price.
+X = (
+    "x",
+    f"""SELECT *, sec - lag(sec) {IN_DAY} AS gap, abs(dp) / (pp + 0.0000000001) AS ar, lag(abs(dp) / (pp + 0.0000000001)) {IN_DAY} AS ar1, cum_pq / cum_q AS rv, lag(cum_pq / cum_q) {IN_DAY} AS rv1, min(sec) OVER {WHOLE_DAY} AS t0, max(sec) OVER {WHOLE_DAY} AS t1,
+       QUANTILE(q, 0.95) OVER {WHOLE_DAY} AS q95, QUANTILE(q, 0.9) OVER {WHOLE_DAY} AS q90, QUANTILE(ask - bid, 0.5) OVER {WHOLE_DAY} AS spread50, QUANTILE(ref, 0.5) OVER {WHOLE_DAY} AS ref50, first_value(p) {IN_DAY} AS open, buy - sell AS nf, sum(buy - sell) {SO_FAR} AS ofi,
+       {PUSH} AS push, {PUSH0} AS push0, lead({PUSH}) {IN_DAY} AS push_next, lead({PUSH0}) {IN_DAY} AS push0_next, sum(q * {PUSH}) {SO_FAR} AS pushed, sum(q * {PUSH0}) {SO_FAR} AS pushed0,
        CASE WHEN f = 1 AND sec <= 36000 THEN 1 WHEN f = 1 AND sec >= 45000 THEN 2 ELSE 0 END AS part, CASE WHEN pp < 10 THEN 0.01 WHEN pp < 50 THEN 0.05 WHEN pp < 100 THEN 0.1 WHEN pp < 500 THEN 0.5 WHEN pp < 1000 THEN 1.0 ELSE 5.0 END AS step FROM t""",
+    X_SQL,
+)
+BY_SECOND = "OVER (PARTITION BY StockId, Date ORDER BY sec)"
+#: One tick of each second stands for it: a count of distinct seconds would write every tick once more and group by second what is summed by day.
+OF_SECOND = f"CASE WHEN sec IS DISTINCT FROM lag(sec) {BY_SECOND} THEN 1 ELSE 0 END AS of_second"
+
+
+def seconds(condition: str = "") -> str:
+    """How many seconds of the rows' group have a tick, of those for which the condition is true."""
+    return f"count(CASE WHEN of_second = 1 AND sec IS NOT NULL{condition and f' AND {condition}'} THEN 1 END)"
+
+
+#: What was pushed in a run, at its last tick: the sum so far less that at the tick before the run, which is none's.
+RUNS = (
+    "y",
+    "SELECT *, " + ", ".join(f"CASE WHEN coalesce(push{k}_next, 0) = 0 THEN pushed{k} - coalesce(last_value(CASE WHEN push{k} = 0 THEN pushed{k} END IGNORE NULLS) {SO_FAR}, 0) END AS run_q{k}" for k in ("", "0")) + " FROM x",
+    f"SELECT *, lag(ar) {IN_DAY} AS ar1, sum(1 - push) OVER w AS streak, sum(1 - push0) OVER w AS streak0, row_number() OVER (PARTITION BY StockId, Date, part ORDER BY q, pos) AS i, count(*) OVER (PARTITION BY StockId, Date, part) AS of_part FROM x WINDOW w AS (PARTITION BY StockId, Date ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+)
+_PEERS = "OVER (PARTITION BY StockId, Date ORDER BY sec RANGE BETWEEN CURRENT ROW AND CURRENT ROW)"
+_PART = "(PARTITION BY StockId, Date, part ORDER BY q, pos"
+SUMS = (
+    "u",
+    f"""SELECT *, sum(q) OVER (PARTITION BY StockId, Date, p) AS at_price FROM (
+          SELECT *, row_number() OVER {_PART}) AS i, count(*) OVER {_PART} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS of_part FROM (
+            SELECT *, max_by(p, pos) OVER (PARTITION BY StockId, Date ORDER BY sec RANGE BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS later, {OF_SECOND}, count(*) {_PEERS} AS in_second, max(p) {_PEERS} - min(p) {_PEERS} AS second_range FROM y) AS by_second) AS by_part""",
+    "SELECT *, sum(q * push) OVER (PARTITION BY StockId, Date, streak) AS run_q, sum(q * push0) OVER (PARTITION BY StockId, Date, streak0) AS run_q0 FROM y",
 )
-RUNS = ("y", f"SELECT *, lag(ar) {IN_DAY} AS ar1, sum(1 - push) OVER w AS streak, sum(1 - push0) OVER w AS streak0, row_number() OVER (PARTITION BY StockId, Date, part ORDER BY q, pos) AS i, count(*) OVER (PARTITION BY StockId, Date, part) AS of_part FROM x WINDOW w AS (PARTITION BY StockId, Date ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-SUMS = ("u", "SELECT *, sum(q * push) OVER (PARTITION BY StockId, Date, streak) AS run_q, sum(q * push0) OVER (PARTITION BY StockId, Date, streak0) AS run_q0 FROM y")
 #: The largest trade of the 20 days before.
 TOP20 = ("top", f"SELECT StockId, Date, coalesce(max(m) {over(20, '1 PRECEDING')}, 0) AS top20 FROM (SELECT StockId, Date, max(q) AS m FROM {{ticks}} {BY_DAY}) AS own")
 ALL = ("v", "SELECT u.*, top20 FROM u JOIN top ON u.StockId = top.StockId AND u.Date = top.Date")
@@ -68,18 +99,16 @@ TICK_PATHS = Columns("raw_tick_path_columns", "distributions, runs and responses
     ("raw_flu_instanton_escape_likelihood", f"max(run_q) * 1.0 / {V}"), ("raw_qit_lyapunov_ballistic_duration", "max(run_q0)"),
     ("raw_flu_detailed_balance_breaking", f"{csum('p >= ref * 0.99 AND p <= ref * 1.01', 'buy')} / ({csum('p >= ref * 0.99 AND p <= ref * 1.01', 'sell')} + 1.0)"),
     ("raw_dpt_surprisal_derivative", csum("sec >= 45000 AND q > 0.8 * top20 AND top20 > 0")), ("raw_qit_subadditivity_entropy_gap", f"CASE WHEN count(*) >= 5 THEN {mutual()} ELSE 0.0 END"),
-    ("raw_qit_quantum_zeno_freezing", "count(DISTINCT CASE WHEN in_second >= 3 AND second_range = 0 THEN sec END) * 1.0 / count(DISTINCT sec)"), ("raw_qit_majorization_deficit", f"{GINI[2]} - {GINI[1]}"),
+    ("raw_qit_quantum_zeno_freezing", f"{seconds('in_second >= 3 AND second_range = 0')} * 1.0 / {seconds()}", "count(DISTINCT CASE WHEN in_second >= 3 AND second_range = 0 THEN sec END) * 1.0 / count(DISTINCT sec)"), ("raw_qit_majorization_deficit", f"{GINI[2]} - {GINI[1]}"),
     ("raw_qit_arnold_web_resonance", f"max(at_price) * 1.0 / {V}"), ("raw_mode_share", f"max(at_price) * 1.0 / {V}"), ("raw_qit_virasoro_worldsheet_area", f"coalesce(sum((p - low + coalesce(pp, p) - low) / 2 * q) / nullif({V} * (max(p) - min(p)), 0), 0.0)"),
     ("raw_mhd_magnetic_helicity", "CASE WHEN count(*) >= 30 THEN coalesce(sum(ofi * tanh(10 * coalesce(dp, 0.0))) / nullif(1.0 * count(*) * max(abs(ofi)), 0), 0.0) END"), ("raw_pvg_negative_temperature_corr", corr("abs(p - open)", "nf", 30)),
-    ("raw_tick_spread_median", "QUANTILE(ask - bid, 0.5)"), ("raw_spread_compression", "QUANTILE(ask - bid, 0.5) / QUANTILE(ref, 0.5)"),
+    ("raw_tick_spread_median", "max(spread50)", "QUANTILE(ask - bid, 0.5)"), ("raw_spread_compression", "max(spread50) / max(ref50)", "QUANTILE(ask - bid, 0.5) / QUANTILE(ref, 0.5)"),
 ), "v")
 
 #: Minutes of a day with their neighbours.
-MINUTE = (
-    "m",
-    f"""SELECT StockId, Date, floor(sec / 60) AS minute, min_by(p, pos) AS first, max_by(p, pos) AS last, avg(p) AS mean, coalesce(stddev_samp(p), 0.0) AS dev, sum(q) AS vol, sum(buy) AS buy, max(p) AS high, min(p) AS low, count(DISTINCT sec) AS secs,
-       sum(ask - bid) AS spread, max_by(cum_pq / cum_q, pos) AS rv, max(vwap) AS vwap, max(tot) AS tot, count(CASE WHEN q > 3 * mean_q THEN 1 END) AS bursts FROM (SELECT *, avg(1.0 * q) OVER {D} AS mean_q FROM t) AS k GROUP BY StockId, Date, floor(sec / 60)""",
-)
+_MINUTE = f"""SELECT StockId, Date, floor(sec / 60) AS minute, min_by(p, pos) AS first, max_by(p, pos) AS last, avg(p) AS mean, coalesce(stddev_samp(p), 0.0) AS dev, sum(q) AS vol, sum(buy) AS buy, max(p) AS high, min(p) AS low, count(DISTINCT sec) AS secs,
+       sum(ask - bid) AS spread, max_by(cum_pq / cum_q, pos) AS rv, max(vwap) AS vwap, max(tot) AS tot, count(CASE WHEN q > 3 * mean_q THEN 1 END) AS bursts FROM (SELECT *, avg(1.0 * q) OVER {D} AS mean_q FROM t) AS k GROUP BY StockId, Date, floor(sec / 60)"""
+MINUTE = ("m", _MINUTE.replace("count(DISTINCT sec)", seconds()).replace(f"(SELECT *, avg(1.0 * q) OVER {D}", f"(SELECT *, {OF_SECOND}, avg(1.0 * q) OVER (PARTITION BY StockId, Date ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", 1), _MINUTE)
 AT = "OVER (PARTITION BY StockId, Date ORDER BY minute)"
 NEXT = ("k", f"SELECT *, lag(last) {AT} AS prev, coalesce(last / nullif(lag(last) {AT}, 0) - 1, 0.0) AS ret, last / nullif(lag(last) {AT}, 0) - 1 AS chg, greatest(lead(last, 1) {AT}, lead(last, 2) {AT}, lead(last, 3) {AT}) AS best3, lag(vol) {AT} AS vol1, max(mean) OVER {D} AS top, min(mean) OVER {D} AS bottom, row_number() OVER (PARTITION BY StockId, Date ORDER BY round(dev * vol, 6), minute) AS calm, avg(1.0 * vol) OVER {D} AS mean_vol FROM m")
 LAGS = ("n", f"SELECT *, lag(ret) {AT} AS ret1, lag(chg) {AT} AS chg1, lag(abs(ret)) {AT} AS ra1 FROM k")
