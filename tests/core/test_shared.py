@@ -128,3 +128,11 @@ def test_seconds_with_many_ticks_out_of_order_agree_with_sql(spark, name):
     for c in got.columns[2:]:
         assert np.allclose(got[c].astype(float), want[c].astype(float), equal_nan=True, atol=1e-5), c
     assert len(got) == 33 and (name != "raw_tick_path_columns" or got.raw_qit_quantum_zeno_freezing.between(0.01, 0.99).any())
+
+
+def test_history_of_brokers_is_dealt_by_stock_to_tasks_that_grow_in_number(spark, monkeypatch):
+    monkeypatch.setattr(tables, "TASK_TICKS", 500)
+    made = inputs(spark, "/root/testdata/sf0.001")
+    text = plan(next(t for t in catalogue.TABLES if t.name == "raw_broker_history_columns")(**made))
+    assert re.search(rf"Exchange hashpartitioning\(StockId#\d+, {4 * made['brokers']._tidemark_parts}\), REPARTITION_BY_NUM", text)
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 2  # ticks by stock and day, broker days by stock
