@@ -11,6 +11,7 @@ from sentencepiece import sentencepiece_model_pb2 as pb
 from tokenizers import Tokenizer
 
 from tidemark.llm import language_id, sentencepiece_scan, token_counts, token_store
+from tidemark.llm.words import WordLists
 
 MODEL, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = [None, "", " ", "\n", "  a  b ", "a\n\nb \n c", "▁x▁", "<s> </s> <unk>", "aaaa" * 500, "é漢字😀", "tab\there", "x" * 3000, "a b\nc d", "<|endoftext|> it's 's 12 3²"]
@@ -177,3 +178,20 @@ def test_marginals_sum_all_segmentations():
 @pytest.mark.parametrize("run", [lambda d: token_counts.token_counts(d, MODEL), lambda d: token_store.read(token_store.write(d, BYTES, 2)), lambda d: sentencepiece_scan.encode(d, MODEL)])
 def test_empty_tables(spark, run):
     assert run(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_full_table_of_words_keeps_those_asked_for_most():
+    made = []
+
+    def work(ws):
+        made.extend(ws)
+        return np.array([len(w) for w in ws]), np.array([ord(c) for w in ws for c in w], np.int64)
+
+    held = WordLists("test of words", work, 40_000)
+    often = [f"often{k}" for k in range(20)]
+    for k in range(60):
+        words = often + [f"rare{k}-{j}" for j in range(30)] + often[:: k % 3 + 1]
+        n, at, flat = held.gather(words)
+        assert ["".join(map(chr, flat[a : a + m])) for a, m in zip(at.tolist(), n.tolist())] == words
+        assert held.held < 50_000
+    assert len(made) == len(set(made)) == 20 + 60 * 30  # each word was worked out once: before, the often asked ones anew whenever the table was full

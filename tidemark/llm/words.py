@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 import numpy as np
 
+from tidemark.llm.common import ragged
+
 
 class _Numbers(dict):
     """Numbers its keys in the order in which they are asked for, and notes the new ones."""
@@ -85,18 +87,38 @@ class _Growing:
 
 
 class WordLists(WordRows):
-    """A list of numbers for each word: `work` gives the lengths of the words' lists, and the lists end to end."""
+    """A list of numbers for each word: `work` gives the lengths of the words' lists, and the lists end to end. When the
+    words held take too much, those that were asked for most stay, at most half of them."""
 
     def clear(self) -> None:
         super().clear()
-        self.starts, self.lengths, self.flat = (_Growing() for _ in range(3))
+        self.starts, self.lengths, self.flat, self.asked = (_Growing() for _ in range(4))
 
     def gather(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(length of each word's list, where it starts in the flat lists, the flat lists)."""
+        if self.held > self.most:
+            self._keep_half()
         rows = self.rows(words)
         for lengths, flat in self.parts:
             self.starts.add(self.flat.size + np.cumsum(lengths) - lengths)
             self.lengths.add(lengths)
             self.flat.add(flat)
+            self.asked.add(np.zeros(len(lengths), np.int64))
         self.parts = []
+        np.add.at(self.asked.held, rows, 1)
         return self.lengths.held[rows], self.starts.held[rows], self.flat.held
+
+    def _keep_half(self) -> None:
+        """Forget the words asked for least; a word's count is halved, so that old ones go in the end."""
+        size, counts = len(self.row), self.asked.held[: len(self.row)]
+        keep = np.flatnonzero(counts > max(1, int(np.median(counts))))
+        words = np.array(list(self.row), object)[keep].tolist()
+        lengths, starts, flat = self.lengths.held[:size][keep], self.starts.held[:size][keep], self.flat.held
+        own, counts = flat[ragged(starts, lengths)], counts[keep] // 2
+        self.clear()
+        self.row.update(zip(words, range(len(words))))
+        self.starts.add(np.cumsum(lengths) - lengths)
+        self.lengths.add(lengths)
+        self.flat.add(own)
+        self.asked.add(counts)
+        self.held = sum(map(len, words)) + OBJECTS * len(words) + lengths.nbytes + own.nbytes
