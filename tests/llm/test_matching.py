@@ -212,3 +212,18 @@ def test_jaccard_links_between_members_of_different_pivots(spark, monkeypatch):
                 root = [low if r == high else r for r in root]
     df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in jaccard_join.join(df).collect()} == dict(enumerate(root))
+
+
+def test_settled_regions_of_the_same_texts_are_measured_together(spark):
+    """Regions with the same members have one plan with all their pivots, others one of their own; each is divided once."""
+    rows = [(region, rep, 100, 0, 0, 5, rep % 50 == region) for region in range(8) for rep in range(400)]
+    rows += [(8, rep, 100, 0, 0, 5, rep < 1010) for rep in range(1000, 1300)]  # other members
+    rows += [(9, rep, 100, 0, 0, 5, True) for rep in range(400)]  # to be divided
+    live = spark.createDataFrame(rows, "region long, rep long, n long, pos long, prev long, rare long, home boolean")
+    sizes = spark.createDataFrame([(k, 8 if k < 8 else 10, 1) for k in range(9)] + [(9, 400, 2)], "region long, homes long, how int")
+    named, chosen = jaccard_join.plan(live, sizes, 64)
+    plans = {r.region: r["plan"] for r in named.collect()}
+    assert named.count() == 10 and plans == {**dict.fromkeys(range(8), 0), 8: 8, 9: 9}
+    got = {p: [(r.k, r.rep, r.settled) for r in chosen.filter(f"plan = {p}").orderBy("k").collect()] for p in (0, 8, 9)}
+    assert [r for _, r, _ in got[0]] == [r for r in range(400) if r % 50 < 8] and [r for _, r, _ in got[8]] == list(range(1000, 1010)) and [r for _, r, _ in got[9]] == list(range(64))
+    assert all([k for k, *_ in x] == list(range(len(x))) for x in got.values()) and {p: x[0][2] for p, x in got.items()} == {0: True, 8: True, 9: False}

@@ -402,6 +402,34 @@ def measure(live: DataFrame, chosen: DataFrame, sets: DataFrame, rule: Rule) ->
     return stored(out, "distances")
 
 
+def plan(live: DataFrame, sizes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(plan, how, region), each region that is divided once, and (plan, settled, k, rep), the pivots of a plan.
+
+    Regions with the same pivots share their distances. Of those that are settled, regions of the same texts are also put
+    together, as long as they have no more than ALL pivots: each member is then sent and measured once, not once a region.
+    What more is compared so can only find more links.
+    """
+    # The members most like what all share: those with the fewest rare shingles. All regions of near copies then have the same.
+    order = Window.partitionBy("region").orderBy("rare", "rep")
+    homes = _near(live.filter("home"), sizes.filter("how = 2").select("region", "how"), "region", "inner")
+    top = homes.select("region", "how", "rep", F.row_number().over(order).alias("k")).filter(F.col("k") <= most)
+    lists = top.groupBy("region", "how").agg(F.sort_array(F.collect_list(F.struct("k", "rep")))["rep"].alias("list"))
+    plans = stored(lists.groupBy("how", "list").agg(F.min("region").alias("plan"), F.collect_list("region").alias("regions")), "plans")
+    named = plans.select("plan", "how", F.explode("regions").alias("region"))
+    chosen = plans.select("plan", F.lit(False).alias("settled"), F.posexplode("list").alias("k", "rep"))
+    # Settled regions by two least hashes of their members, which regions share the sooner the more members they share, and then by sums of pivots.
+    settled = stored(sizes.filter("how = 1").select("region", "how", "homes"), "settled")
+    heads = _near(live, settled, "region", "left_semi").groupBy("region").agg(F.min(F.xxhash64("rep")).alias("x"), F.min(F.xxhash64("rep", F.lit(1))).alias("y"))
+    before = Window.partitionBy("x", "y", "alone").orderBy("homes", "region").rowsBetween(Window.unboundedPreceding, -1)
+    alone = F.when(F.col("homes") > ALL // 2, F.col("region")).alias("alone")
+    bins = settled.join(heads, "region").select("*", alone).withColumn("bin", F.floor(F.coalesce(F.sum("homes").over(before), F.lit(0)) / (ALL // 2)))
+    by_bin = bins.select("region", "how", F.min("region").over(Window.partitionBy("x", "y", "alone", "bin")).alias("plan"))
+    by_bin = stored(by_bin.select("plan", "how", "region"), "plans")
+    pivot = _near(live.filter("home"), by_bin.select("region", "plan"), "region", "inner").select("plan", "rep").distinct()
+    numbered = pivot.select("plan", F.lit(True).alias("settled"), (F.row_number().over(Window.partitionBy("plan").orderBy("rep")) - 1).alias("k"), "rep")  # at most ALL each
+    return named.unionByName(by_bin), stored(chosen.unionByName(numbered), "pivots")
+
+
 def divide(crowd: DataFrame, sets: DataFrame, rule: Rule) -> tuple[list[DataFrame], list[DataFrame]]:
     """Links (a, b) of members and document pivots, and rows of the small regions that are left.
 
@@ -419,21 +447,12 @@ def divide(crowd: DataFrame, sets: DataFrame, rule: Rule) -> tuple[list[DataFram
     joined = crowd.sparkSession.createDataFrame([], "a long, b long")
     while True:
         sizes = live.groupBy("region").agg(F.count("*").alias("rows"), F.count_if("home").alias("homes")).filter("homes > 0")
-        sizes = stored(sizes.select("region", F.when(F.col("rows") <= CROWDED, 0).when(F.col("homes") <= ALL, 1).otherwise(2).alias("how")), "sizes")
+        sizes = stored(sizes.select("region", "homes", F.when(F.col("rows") <= CROWDED, 0).when(F.col("homes") <= ALL, 1).otherwise(2).alias("how")), "sizes")
         kinds = {r[0] for r in sizes.select("how").distinct().collect()}
         small.append(_near(live, sizes.filter("how = 0").select("region"), "region", "left_semi"))
         if not kinds & {1, 2}:
             return links, small
-        live = _near(live, sizes.filter("how > 0"), "region", "inner")
-        # The members most like what all share: those with the fewest rare shingles. All regions of near copies then have the same.
-        most = F.when(F.col("how") == 1, ALL).otherwise(min(PIVOTS[1], PIVOTS[0] * 4**level))
-        order = Window.partitionBy("region").orderBy("rare", "rep")
-        top = live.filter("home").select("region", "how", "rep", F.row_number().over(order).alias("k")).filter(F.col("k") <= ALL).filter(F.col("k") <= most)
-        lists = top.groupBy("region", "how").agg(F.sort_array(F.collect_list(F.struct("k", "rep")))["rep"].alias("list"))  # at most ALL each
-        # Regions with the same pivots share their distances.
-        plans = stored(lists.groupBy("how", "list").agg(F.min("region").alias("plan"), F.collect_list("region").alias("regions")), "plans")
-        named = plans.select("plan", F.explode("regions").alias("region"))
-        chosen = plans.select("plan", (F.col("how") == 1).alias("settled"), F.posexplode("list").alias("k", "rep"))
+        named, chosen = plan(live, sizes, min(PIVOTS[1], PIVOTS[0] * 4**level))
         live = stored(live.join(named, "region"), "live")
         found = measure(live, chosen, sets, rule)
         links.append(found.filter("rep is null").select("a", "b"))
