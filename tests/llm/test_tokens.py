@@ -1,10 +1,12 @@
 """Operators 2, 3, 4 and 7 against the libraries."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as pb
@@ -137,6 +139,35 @@ def test_sentencepiece_giant_documents(spark):
     assert all(list(got[k].ids) == sp.encode(t) and got[k].decodes for k, t in enumerate(given))
 
 
+def test_sentencepiece_workers_hold_little(docs, monkeypatch):
+    """A worker's own arrays and lists stay far below the batches that it may get, for whole texts and for chunks."""
+    runs, real = [], sentencepiece_scan.arrow_map
+    monkeypatch.setattr(sentencepiece_scan, "arrow_map", lambda df, run, schema: runs.append(run) or real(df, run, schema))
+    sentencepiece_scan.encode(docs, MODEL)
+    whole, cut, trace = runs
+    rng = random.Random(6)
+    words = ["".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 9))) for _ in range(3000)]
+    made = [" ".join(rng.choice(words) for _ in range(5000)) for _ in range(40)]
+    sizes = [len(t) for t in made]
+    texts_of = pa.RecordBatch.from_pydict({"id": list(range(40)), "text": made, "n_chars": sizes})
+    long = " ".join(made)
+    given = pa.RecordBatch.from_pydict({"id": [1], "text": [long], "n_chars": [len(long)], "key": [1]})
+    chunks = pa.Table.from_batches(cut(iter([given]))).combine_chunks()
+    algebra = sentencepiece_scan.Chains(sentencepiece_scan.vocabulary(MODEL).longest)
+    states = algebra.states([algebra.load(m) for m in chunks["matrix"].to_pylist()], 0, 0)
+    ended = chunks.append_column("entry", pa.array(states[:-1], pa.int32())).append_column("leave", pa.array(states[1:], pa.int32())).combine_chunks()
+    sp, got = sentencepiece.SentencePieceProcessor(model_file=MODEL), {}
+    for name, run, batch in (("whole", whole, texts_of), ("trace", trace, ended.to_batches()[0])):
+        ids = [i for part in run(iter([batch])) for own in part.column("ids").to_pylist() for i in own]
+        assert ids == [i for t in (made if run is whole else [long]) for i in sp.encode(t)]
+        tracemalloc.start()
+        for part in run(iter([batch])):
+            del part
+        got[name] = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+    assert got["whole"] < 20 and got["trace"] < 6, got
+
+
 def test_sentencepiece_unigram_rule_in_chunks(docs):
     """A unigram model's rule: whole and cut documents have paths of one score, that of the library's unigram mode or better."""
     own = sentencepiece_scan.coder(MODEL)

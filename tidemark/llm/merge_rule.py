@@ -13,7 +13,7 @@ import numpy as np
 
 from tidemark.llm.pieces import codes_of, marked
 from tidemark.llm.token_counts import Merger
-from tidemark.llm.unigram_rule import Coder
+from tidemark.llm.unigram_rule import KEPT, Coder
 from tidemark.llm.words import WordLists
 
 #: A chain's start, which fits each piece that merging its own characters gives; and no piece at all.
@@ -71,7 +71,7 @@ class MergeCoder(Coder):
     def __init__(self, path: str):
         super().__init__(path)
         self.merger = Merger(path)
-        self.words = WordLists("sentencepiece merges", lambda words: self.solve([marked(w) for w in words]))
+        self.words = WordLists("sentencepiece merges", lambda words: self.solve([marked(w) for w in words]), KEPT)
         self.chains = Chains(self.vocab.longest)
         self.fitting: dict[tuple[int, int], bool] = {}
         self.letters = {i: p for p, i in self.vocab.symbols.items()}

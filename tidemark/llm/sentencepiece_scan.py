@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import arrow_map, small_batches, stored, text_slices, with_fields
+from tidemark.llm.common import arrow_map, freed, small_batches, stored, text_slices, with_fields
 from tidemark.llm.merge_rule import Chains, MergeCoder
 from tidemark.llm.pieces import SPACE, vocabulary
 from tidemark.llm.unigram_rule import Coder, Sums
 
 #: Documents of more characters are cut into chunks of so many; so many chunks make a block of the scan.
 GIANT, CHUNK, BLOCK = 32_768, 8192, 64
+#: A worker encodes about so many characters together, and traces so many chunks: several workers share an executor's memory.
+TOGETHER, TRACED = 1 << 18, 32
 
 
 @lru_cache(maxsize=2)
@@ -77,6 +79,36 @@ def _scan(chunks: DataFrame, algebra: Sums | Chains) -> DataFrame:
     return blocks.join(ends, ["key", "block"]).groupBy("key", "block").applyInPandas(within, "key long, chunk long, entry int, leave int")
 
 
+def lists_of(n: np.ndarray, ids: np.ndarray) -> pa.ListArray:
+    """Lists of n ids each from the ids end to end."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(ids, pa.int32()))
+
+
+def encoded(own: Coder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n_chars, n_tokens, ids, decodes) of batches of (id, text, n_chars), a few texts at a time."""
+    for batch in batches:
+        for part, texts in text_slices([batch], most=TOGETHER):
+            n, ids = own.encode(texts)
+            good = own.gives_back(n, ids, texts)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), lists_of(n, ids), pa.array(good)], ["id", "n_chars", "n_tokens", "ids", "decodes"])
+        freed()
+
+
+def traced_chunks(own: Coder, algebra: Sums | Chains, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key, n_chars, chunk, ids, decodes) of batches of chunks with the states at their ends, a few chunks at a time."""
+    names = ["id", "key", "n_chars", "chunk"]
+    for batch in batches:
+        for at in range(0, batch.num_rows, TRACED):
+            few, ids, good = batch.slice(at, TRACED), [], []
+            for before, part, inside, entry, leave in zip(*(few.column(c).to_pylist() for c in ("before", "part", "inside", "entry", "leave"))):
+                ids.append(own.trace(before, part, inside, entry, leave))
+                covered = own.raw(ids[-1]).tobytes()
+                good.append(covered == part[algebra.covered(entry) : inside + algebra.covered(leave)].encode("utf-8", "surrogatepass"))
+            lists = lists_of(np.fromiter(map(len, ids), np.int64, len(ids)), np.concatenate(ids))
+            yield pa.RecordBatch.from_arrays([*(few.column(c) for c in names), lists, pa.array(good, pa.bool_())], [*names, "ids", "decodes"])
+        freed()
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", giant: int = GIANT, chunk: int = CHUNK, rule: str | None = None) -> DataFrame:
     """(id, n_chars, n_tokens, ids, decodes) of each document.
 
@@ -97,13 +129,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     result = f"id {kind}, n_chars long, n_tokens long, ids array<int>, decodes boolean"
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = made(model)
-        for batch, texts in text_slices(batches):
-            n, ids = own.encode(texts)
-            at = np.r_[0, np.cumsum(n)]
-            lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))
-            good = own.gives_back(n, ids, texts)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), lists, pa.array(good)], ["id", "n_chars", "n_tokens", "ids", "decodes"])
+        yield from encoded(made(model), batches)
 
     small = arrow_map(rows.filter(size <= giant), whole, result)
     large = rows.withColumn("key", F.monotonically_increasing_id()).filter(size > giant)
@@ -121,15 +147,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
                     yield pa.RecordBatch.from_pydict({"id": pa.array([doc], batch.schema.field(0).type), "key": [key], "n_chars": [n], "chunk": [k], "block": [k // BLOCK], "before": [before], "part": [part], "inside": [inside], "matrix": [own.matrix(before, part, inside, k == 0).tobytes()]})
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = made(model)
-        for batch in batches:
-            ids, good = [], []
-            for before, part, inside, entry, leave in zip(*(batch.column(c).to_pylist() for c in ("before", "part", "inside", "entry", "leave"))):
-                ids.append(own.trace(before, part, inside, entry, leave).tolist())
-                covered = own.raw(np.asarray(ids[-1], np.int64)).tobytes()
-                good.append(covered == part[algebra.covered(entry) : inside + algebra.covered(leave)].encode("utf-8", "surrogatepass"))
-            names = ["id", "key", "n_chars", "chunk"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(ids, pa.list_(pa.int32())), pa.array(good, pa.bool_())], [*names, "ids", "decodes"])
+        yield from traced_chunks(made(model), algebra, batches)
 
     chunks = stored(arrow_map(large, cut, f"id {kind}, key long, n_chars long, chunk long, block long, before string, part string, inside long, matrix binary"), "chunks")
     joined = chunks.drop("matrix", "block").join(_scan(chunks, algebra), ["key", "chunk"])

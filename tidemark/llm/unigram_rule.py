@@ -8,6 +8,9 @@ from tidemark.llm.common import ragged
 from tidemark.llm.pieces import SPACE, best_paths, codes_of, lattice, marked, parts_of, split_words, traced, vocabulary
 from tidemark.llm.words import WordLists
 
+#: Bytes of words that a worker keeps; the arrays and the dictionary take up to twice as much.
+KEPT = 12 << 20
+
 
 class Sums:
     """Max-plus matrices of the unigram rule; a state is how many characters are covered beyond a border."""
@@ -42,7 +45,7 @@ class Coder:
 
     def __init__(self, path: str):
         self.vocab = v = vocabulary(path)
-        self.words = WordLists("sentencepiece", lambda words: self.solve([marked(w) for w in words]))
+        self.words = WordLists("sentencepiece", lambda words: self.solve([marked(w) for w in words]), KEPT)
         #: What each id stands for in a text.
         self.bytes = [b""] * v.size
         for p, i in v.ids.items():
