@@ -64,3 +64,10 @@ def test_days_with_few_brokers_and_brokers_that_come_back_late(spark, brokers, s
     assert len(got) and got[["StockId", "Date"]].equals(want[["StockId", "Date"]])
     assert got[FEATURE.name].equals(want[FEATURE.name])
     assert got[FEATURE.name].nunique() > (8 if brokers >= 5 else 3) and (brokers < 5 or (got[FEATURE.name].abs() > 400).any())
+
+
+def test_the_sixth_by_net_buying_is_an_expert_where_the_popular_lead_it(spark):
+    """All trade on all days, the three popular also gathered most: the experts are the fourth to the sixth."""
+    fills = [("A", 1 + d, f"B{k}", 1.0, 100 - 10 * k, 0) for d in range(2) for k in range(8)] + [("A", 3, f"B{k}", 1.0, 5 if k < 3 else 0, 7 if k == 5 else 0) for k in range(8)]
+    got = SIDES(brokers=spark.createDataFrame(fills, SCHEMA.format("long"))).collect()
+    assert sorted((r.Date, r[FEATURE.name]) for r in got) == [(1, 270.0 + 180000), (2, 270.0 + 180000), (3, 15.0 - 7000)]
